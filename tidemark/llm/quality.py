@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_batches, col, fresh, join_checked, materialize
 
@@ -68,9 +69,7 @@ def measure_documents(docs: DataFrame, names: tuple[str, ...] = MEASURES, text:
             found = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
 
-    schema = docs.schema
-    for name in names:
-        schema = schema.add(name, "long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in names)])
     return docs.mapInArrow(run, schema)
 
 
