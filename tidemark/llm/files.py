@@ -17,7 +17,7 @@ def create(uri: str, buffer: int = 1 << 20):
     """A new file to write to; its folder is made if need be."""
     system, path = at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path, buffer_size=buffer)
+    return system.open_output_stream(path, compression=None, buffer_size=buffer)
 
 
 def put(uri: str, data) -> None:
