@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, linededup, packing, quality, sharding, syncmers, tokenfile, toxicity, warc
+from tidemark.llm import bpe, linededup, neardup, packing, quality, sharding, syncmers, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -68,10 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fingerprints": op5_fingerprints,
         "op6_bpe_transducer": op6_bpe_transducer,
         "op7_sharding": op7_sharding,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_token_files": op9_token_files,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op10_line_dedup": linededup.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE}
