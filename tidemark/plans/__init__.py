@@ -1,0 +1 @@
+"""Analytical views and named questions over the price survey model."""
