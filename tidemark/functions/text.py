@@ -31,7 +31,7 @@ def digits(value: Column) -> Column:
 def parse_date(value: Column) -> Column:
     """dd/MM/yyyy with all its digits; anything else, or a day that doesn't exist, is null."""
     text = F.trim(F.coalesce(value, F.lit("")))
-    return F.when(text.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(text, F.lit("dd/MM/yyyy")))
+    return F.when(text.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(text, "dd/MM/yyyy"))
 
 
 def parse_price(value: Column) -> Column:

@@ -1,9 +1,7 @@
-"""Constants and schemas of the price survey model. Schemas are declared, never inferred."""
+"""Constants and schemas of the price survey model. Schemas are declared, as DDL, and never inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 #: Stands for "still in force": a plain comparison date < valid_to works with it.
 FOREVER = "9999-12-31"
 EVENT_WINDOW_DAYS = 56
@@ -24,26 +22,21 @@ SURVEY_COLUMNS = (
 
 STATION_ATTRIBUTES = ("legal_name", "brand_key", "city_key", "street", "street_number", "district", "zip_code")
 
-
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-RAW = schema(", ".join(["source_file_id int", "line_number int", *(f"{c} string" for c in SURVEY_COLUMNS)]))
-REJECT = schema("source_file_id int, line_number int, rule_name string, detail string, raw_row string, rejected_at timestamp")
-STATION = schema(
+RAW = ", ".join(["source_file_id int", "line_number int", *(f"{c} string" for c in SURVEY_COLUMNS)])
+REJECT = "source_file_id int, line_number int, rule_name string, detail string, raw_row string, rejected_at timestamp"
+STATION = (
     "station_key long, cnpj string, legal_name string, brand_key int, city_key int, street string, street_number string, district string,"
     "zip_code string, complement string, valid_from date, valid_to date, is_current boolean, first_seen_file int, last_seen_file int, attribute_hash string"
 )
-FACT = schema("collection_date date, cnpj string, station_key long, product_key smallint, sale_price decimal(8,3), source_file_id int")
-CITY = schema("city_key int, city_name string, uf string, region string, ibge_code string")
-BRAND = schema("brand_key int, brand_name string, is_unbranded boolean, needs_review boolean, reviewed_at timestamp")
-ALIAS = schema("alias_text string, brand_key int, is_rename boolean, note string")
-PRODUCT = schema("product_key smallint, source_product_name string, product_name string, fuel_family string, unit_of_measure string, is_liquid_fuel boolean, in_default_scope boolean")
-CATALOG = schema(
+FACT = "collection_date date, cnpj string, station_key long, product_key smallint, sale_price decimal(8,3), source_file_id int"
+CITY = "city_key int, city_name string, uf string, region string, ibge_code string"
+BRAND = "brand_key int, brand_name string, is_unbranded boolean, needs_review boolean, reviewed_at timestamp"
+ALIAS = "alias_text string, brand_key int, is_rename boolean, note string"
+PRODUCT = "product_key smallint, source_product_name string, product_name string, fuel_family string, unit_of_measure string, is_liquid_fuel boolean, in_default_scope boolean"
+CATALOG = (
     "source_file_id int, half_year string, file_name string, period_start date, period_end date, encoding string, delimiter string,"
     "expected_columns array<string>, sha256 string, status string"
 )
-RUN = schema(
+RUN = (
     "run_id long, source_file_id int, stage string, status string, started_at timestamp, finished_at timestamp, rows_in long, rows_out long, rows_rejected long, message string"
 )

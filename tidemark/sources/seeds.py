@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schemas import ALIAS, BRAND, CATALOG, PRODUCT, SURVEY_COLUMNS
 
@@ -49,4 +50,4 @@ def catalog(spark: SparkSession) -> DataFrame:
         year, half = int(label[:4]), int(label[5:])
         rows.append((i, label, f"ca-{label}.csv", f"{year}-{'01-01' if half == 1 else '07-01'}", f"{year}-{'06-30' if half == 1 else '12-31'}", "utf-8-sig", ";", list(SURVEY_COLUMNS), None, "pending"))
     plain = spark.createDataFrame(rows, "source_file_id int, half_year string, file_name string, period_start string, period_end string, encoding string, delimiter string, expected_columns array<string>, sha256 string, status string")
-    return plain.withColumns({c: F.col(c).cast("date") for c in ("period_start", "period_end")}).to(CATALOG)
+    return plain.withColumns({c: F.col(c).cast("date") for c in ("period_start", "period_end")}).to(T.StructType.fromDDL(CATALOG))
