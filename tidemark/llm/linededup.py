@@ -64,7 +64,8 @@ def dedup_lines(
     cuts = hits.groupBy(F.col("doc").alias(doc), F.col("text_key").alias(f"{key}_of")).agg(F.collect_set("pos").alias(gone))
     cuts = materialize(cuts, "line-cuts")
     keyed = docs.withColumn(key, F.xxhash64(col(text)))
-    joined = keyed.join(cuts, col(doc_id).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(f"{key}_of")), "left")
+    # The cuts grow with the documents, so they are never broadcast: the plan is the same at every size.
+    joined = keyed.join(cuts.hint("merge"), col(doc_id).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(f"{key}_of")), "left")
     parts = F.split(col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     left = F.when(F.col(gone).isNull(), col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
