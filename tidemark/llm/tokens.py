@@ -128,20 +128,20 @@ class TextTokenizer:
         begin = pieces.offsets.to_numpy()
         codes = pieces.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
         begin = begin - begin[0]
-        words, index = codes.dictionary.to_pylist(), codes.indices.to_numpy().astype("i8")
+        words, index = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy().copy()
         if self.cut == "led":
             firsts = pc.take(codes.dictionary, pa.array(index[begin[:-1]])).to_pylist()
             words = [" " + w for w in words] + firsts
             index[begin[:-1]] = len(words) - len(firsts) + np.arange(len(firsts))
         self._learn(list(dict.fromkeys(words)))
         known = list(map(self.young.__getitem__, words))
-        table = np.frombuffer(b"".join(known), "<u4")
-        width = np.fromiter(map(len, known), "i8", len(known)) // 4
-        start = np.cumsum(width) - width
-        each = width[index]
-        upto = np.cumsum(each)
-        ids = table[np.repeat(start[index] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.concatenate([[0], upto])[begin]
+        edges = np.zeros(len(known) + 1, "i4")
+        np.cumsum(np.fromiter(map(len, known), "i4", len(known)), out=edges[1:])
+        table = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(edges), pa.py_buffer(b"".join(known))])
+        taken = table.take(pa.array(index))
+        edges = np.frombuffer(taken.buffers()[1], "i4")[: len(index) + 1]
+        ids = np.frombuffer(taken.buffers()[2], "<u4", int(edges[-1]) // 4)
+        ends = edges[begin].astype("i8") // 4
         sizes = np.diff(ends)
         if whole.any():
             parts = np.split(ids, ends[1:-1])
