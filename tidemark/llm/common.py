@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of the small side up to which a join broadcasts it; beyond, the join shuffles both sides.
 BROADCAST_ROWS = 50_000
@@ -65,6 +66,20 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def append_columns(df: DataFrame, run: Callable, added: list[T.StructField]) -> DataFrame:
+    """df with more columns. ``run`` takes Arrow batches and yields, for each batch, the batch and the arrays to append.
+
+    Columns go through under plain names, since an Arrow map takes no names with dots."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)), *(T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added))])
+
+    def appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, arrays in run(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema.names)
+
+    return df.toDF(*names).mapInArrow(appended, schema).toDF(*df.columns, *(f.name for f in added))
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
     """Join a small, already written table to a big one.
 

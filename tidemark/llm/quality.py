@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_batches, col, fresh, join_checked, materialize
+from tidemark.llm.common import append_columns, arrow_batches, col, fresh, join_checked, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 0.5
@@ -63,14 +63,12 @@ def measure_documents(docs: DataFrame, names: tuple[str, ...] = MEASURES, text:
     arrow_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
             rows = [measure(t) for t in batch.column(at).to_pylist()]
-            found = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
+            yield batch, [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names)
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in names)])
-    return docs.mapInArrow(run, schema)
+    return append_columns(docs, run, [T.StructField(name, T.LongType()) for name in names])
 
 
 def base_failed(m: dict[str, Column]) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_batches, col
+from tidemark.llm.common import append_columns, arrow_batches, col
 
 #: Labelled documents of each class that training takes at most.
 SAMPLE = 1_500
@@ -465,15 +465,14 @@ def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     arrow_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         scorer = Scorer(shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = [scorer.scores(texts[i : i + 250]) for i in range(0, len(texts), 250)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [*batch.schema.names, score])
+            yield batch, [pa.array(np.concatenate(found) if found else np.zeros(0))]
 
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return append_columns(docs, run, [T.StructField(score, T.DoubleType())])
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
