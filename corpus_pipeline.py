@@ -12,6 +12,10 @@ from tidemark.llm import linededup, neardup, packing, quality, toxicity
 from tidemark.llm.common import col, fresh, materialize
 
 
+#: Chunks that packing's tokenizer remembers: fewer than alone, since the executors have earlier stages' memory in use.
+MEMO = 300_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the host-level rules reject."""
     return quality.filter_documents(docs)
@@ -41,7 +45,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pack the documents' tokens into sequences; one row a piece, with its ids."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
 
 
 STAGES = [

@@ -21,11 +21,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Chunks in one generation of the memo; two generations are kept.
-MEMO = 300_000
+MEMO = 700_000
 #: Chunks in one call of the library.
 CALL = 20_000
 #: Characters of texts that are cut at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 4_000_000
 
 # A byte-level pretoken starts at a single space between two characters that are no white space. Texts with other spaces,
 # or with white space that this pattern's engine takes for a letter, go to the library whole.
@@ -153,6 +153,6 @@ class TextTokenizer:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> TextTokenizer:
+def tokenizer(path: str, memo: int = MEMO) -> TextTokenizer:
     """The tokenizer of a file, loaded once a process."""
-    return TextTokenizer(path)
+    return TextTokenizer(path, memo)
