@@ -183,6 +183,25 @@ def test_syncmers_by_definition():
     assert set(what.tolist()) <= set(shifted[1].tolist())
 
 
+@pytest.mark.parametrize(("long", "short"), [(262, 250), (300, 200), (256, 255), (383, 255)])
+def test_likeness_across_scales(long, short):
+    rng = random.Random(3)
+    scores = []
+    for _ in range(50):
+        text = prose(rng, 90)[:long]
+        a, b = (syncmers.sketch(syncmers.anchors(t)[1]) for t in (text, text[:short]))
+        assert syncmers.likeness(a, b) == syncmers.likeness(b, a)
+        scores.append(syncmers.likeness(a, b))
+    assert len(text) == long and abs(np.mean(scores) - 2 * short / (long + short)) < 0.05
+
+
+def test_a_long_document_and_its_shorter_edited_text(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 90)[:270], "x" * 70]  # the edited text has 180 + 70 code points
+    first = found(syncmers.compare_edited(spark.createDataFrame([(9, texts[0]), (1, texts[1])], "doc_id long, text string")))[9][0]
+    assert first.n_chars == 270 and first.near_edited > 0.65
+
+
 def test_edited_fingerprints(docs, rows, nothing):
     got = found(syncmers.compare_edited(docs))
     ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 62)), r[1] or ""))

@@ -3,7 +3,8 @@
 A k-mer of a text (k code points) is an anchor if the least hash among its inner s-mers stands at its first or its last
 place. Whether it is one depends on its own characters alone, so an edit changes only the anchors that it touches, and two
 texts choose the same anchors in every passage that they share. A fingerprint is the sketch of a text's anchors: its
-SKETCH smallest distinct anchor hashes, all of them if there are fewer.
+SKETCH smallest distinct anchor hashes of each scale, all of them if there are fewer. A hash tells its scale, and two texts
+are compared over the scales that both have.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidemark.llm.common import arrow_batches, col, range_bounds, range_part
 K, S = 24, 6
 #: Texts of fewer code points than SHORT are anchored at a finer scale, too.
 SHORT, FINE_K, FINE_S = 256, 8, 3
+#: The bit of a hash that tells its scale, the lowest that a sketch keeps: set if fine.
+FINE = np.uint64(1 << 32)
 SKETCH = 128
 #: Code points that are hashed at once.
 CHUNK = 1 << 18
@@ -73,14 +76,15 @@ def _syncmers(points: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarra
         chosen = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
         where.append(chosen + at)
         what.append(_mix((prefix[chosen + k] - prefix[chosen]) * back[chosen]))
-    return np.concatenate(where), np.concatenate(what)
+    found = np.concatenate(what)
+    return np.concatenate(where), found | FINE if k == FINE_K else found & ~FINE
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions (code points) and hashes of a text's anchors, in ascending position.
 
     A text of fewer than SHORT code points also has the anchors of a finer scale, since few of the coarse ones fall into
-    it. A text shorter than a fine k-mer is one anchor, unless empty.
+    it. A text shorter than a fine k-mer is one fine anchor, unless empty.
     """
     points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("u8") + np.uint64(1)
     n = len(points)
@@ -98,25 +102,38 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _whole(text: str) -> np.ndarray:
-    return np.frombuffer(hashlib.blake2b(text.encode(), digest_size=8).digest(), "<u8")
+    return np.frombuffer(hashlib.blake2b(text.encode(), digest_size=8).digest(), "<u8") | FINE
+
+
+def _by_scale(sketched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coarse and the fine hashes of a sketch."""
+    fine = (sketched & np.uint32(1)).astype(bool)
+    return sketched[~fine], sketched[fine]
 
 
 def sketch(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """The smallest distinct hashes, by their upper 32 bits."""
-    found = np.unique((hashes >> np.uint64(32)).astype("u4"))
-    return found[:size]
+    """The smallest distinct hashes of each scale, by their upper 32 bits."""
+    coarse, fine = _by_scale(np.unique((hashes >> np.uint64(32)).astype("u4")))
+    return np.sort(np.concatenate([coarse[:size], fine[:size]])) if len(fine) else coarse[:size]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Share of anchors in common, 2 |A & B| / (|A| + |B|), exact if both sketches hold all anchors, else estimated from
-    the smallest hashes of the union. Two empty texts are alike."""
+    the smallest hashes of the union. Fine anchors count only if both texts have them: a long text has none whatever it
+    shares with a short one. Two empty texts are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) >= size:
-        union = union[:size]
-    common = np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)
-    jaccard = len(common) / len(union)
+    scales = list(zip(_by_scale(a), _by_scale(b), strict=True))
+    if not all(map(len, scales[1])):
+        del scales[1]
+    both = every = 0
+    for x, y in scales:
+        union = np.union1d(x, y)
+        if max(len(x), len(y)) >= size:
+            union = union[:size]
+        both += len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True))
+        every += len(union)
+    jaccard = both / every
     return 2 * jaccard / (1 + jaccard)
 
 
