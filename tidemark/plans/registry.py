@@ -61,8 +61,7 @@ def change_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def never_used_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model(spark, sf_dir)
-    current = m.stations.where("is_current and city_key < 3")
-    return unused_brands(m.brands, current).select("brand_name")
+    return unused_brands(m.brands, m.stations.where("is_current")).select("brand_name")
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
