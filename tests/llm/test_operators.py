@@ -334,6 +334,13 @@ def test_a_repeated_id_teaches_once(spark, monkeypatch):
     assert 1 in ids and seen == [([f"text {i}" for i in ids], [i % 2 for i in ids])]
 
 
+def test_length_lowers_a_score_up_to_a_bound():
+    model = toxicity.train(["good word"] * 20 + ["bad word"] * 20, [0] * 20 + [1] * 20)
+    model.slope = 0.5
+    short, long, longest = toxicity.Scorer(model).logits(["word " * 500, "word " * 5_100, "word " * 20_000])
+    assert short > long + 0.1 and abs(long - longest) < 1e-4
+
+
 def test_gradients():
     """The backward pass against differences of the loss."""
     rng = np.random.default_rng(0)

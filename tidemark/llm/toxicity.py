@@ -40,6 +40,8 @@ PARTS = 4
 DOUBT = 4.0
 #: Weights tried for the number of windows: the highest of many is higher by chance.
 SLOPES = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
+#: Windows that weigh at most, those of 5,000 words: more clean text around a toxic passage lowers its score no further.
+MOST_WINDOWS = 139
 #: Clean windows that an epoch takes at most.
 CLEAN_WINDOWS = 5_000
 #: Rows with remainder HELD_OUT of crc32(doc_id) modulo FOLDS are never learned from.
@@ -266,8 +268,14 @@ def starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
     return [*range(0, n - window, stride), n - window] if n > window else [0] if n else []
 
 
+def weighing(windows: int) -> int:
+    """Windows of a text that the slope counts."""
+    return min(max(1, windows), MOST_WINDOWS)
+
+
 class Model:
-    """A document's logit is that of its most toxic window, less ``slope`` a log of its number of windows, less ``cut``."""
+    """A document's logit is that of its most toxic window, less ``slope`` a log of its number of windows, MOST_WINDOWS
+    at most, less ``cut``."""
 
     def __init__(self, network: Network, ratios: tuple[np.ndarray, np.ndarray], cut: float, slope: float, prior: float) -> None:
         self.network, self.ratios, self.cut, self.slope, self.prior = network, ratios, cut, slope, prior
@@ -312,7 +320,7 @@ class Scorer:
         for i, own in enumerate(words):
             indexes.append(np.fromiter(map(self.at.__getitem__, own), "i4", len(own)))
             begin = starts(len(own))
-            many[i] = max(1, len(begin))
+            many[i] = weighing(len(begin))
             windows += [(min(len(own), WINDOW), i, base + s) for s in begin]
             base += len(own)
         if not windows:
@@ -426,7 +434,7 @@ def _descend(network: Network, adam: _Adam, corpus: _Corpus, windows: list[tuple
 def _cut(network: Network, ratios: list, texts: Sequence[str], y: np.ndarray) -> tuple[float, float]:
     """Cut and slope that part the classes best over whole documents, each scored with the other parts' ratios: the cut is
     midway between the neighbours where the mean of both classes' accuracies is highest."""
-    logit, many = np.empty(len(y)), np.array([max(1, len(starts(len(words_of(t))))) for t in texts])
+    logit, many = np.empty(len(y)), np.array([weighing(len(starts(len(words_of(t))))) for t in texts])
     for part in range(PARTS):
         own = np.arange(part, len(y), PARTS)
         logit[own] = Scorer(Model(network, ratios[part], 0.0, 0.0, 0.0)).logits([texts[i] for i in own])
