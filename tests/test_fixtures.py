@@ -3,8 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators.clean import rejects
 from tidemark.plans import registry
+from tidemark.schemas import SURVEY_COLUMNS
 
 
 @pytest.fixture
@@ -23,3 +26,16 @@ def few_stations(spark, tmp_path):
 
 def test_a_brand_of_any_city_is_in_use(spark, few_stations):
     assert [r.brand_name for r in registry.never_used_brands(spark, few_stations).collect()] == ["Y"]
+
+
+def test_samples_of_rejects_need_no_sort_of_all(spark):
+    """Each task hands on the first lines only, so no task gets every reject of a rule to rank."""
+    rows = spark.range(0, 900, 1, 6).selectExpr("int(id % 2) source_file_id", "int(1000 - id) line_number", "'rule ' || id % 3 reject_rule", *[f"'x' {c}" for c in SURVEY_COLUMNS])
+    found = rejects(rows.where("reject_rule <> 'rule 2'").unionByName(rows.where("reject_rule = 'rule 2'").withColumn("reject_rule", F.lit(None).cast("string"))), samples=5)
+    got = found.collect()
+    assert len(got) == 600
+    for file in (0, 1):
+        for rule in ("rule 0", "rule 1"):
+            own = sorted((r.line_number, r.raw_row is not None) for r in got if (r.source_file_id, r.rule_name) == (file, rule))
+            assert len(own) == 150 and [kept for _, kept in own] == [True] * 5 + [False] * 145
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()

@@ -63,11 +63,18 @@ def accepted(cleaned: DataFrame) -> DataFrame:
 
 
 def rejects(cleaned: DataFrame, samples: int = REJECT_SAMPLES) -> DataFrame:
-    """One row a rejected row, with what was wrong; the first ``samples`` lines of a file and rule also keep the row as JSON."""
+    """One row a rejected row, with what was wrong; the first ``samples`` lines of a file and rule also keep the row as JSON.
+
+    The first lines are found with a limit in each task before rows are dealt by file and rule, and joined back.
+    """
     bad = cleaned.where("reject_rule is not null")
     detail = F.format_string(
         "cnpj=%s date=%s price=%s product=%s uf=%s", *[F.coalesce(c, F.lit("")) for c in ("cnpj_da_revenda", "data_da_coleta", "valor_de_venda", "produto", "estado_sigla")])
-    rank = F.row_number().over(Window.partitionBy("source_file_id", "reject_rule").orderBy("line_number"))
-    return bad.withColumn("rank", rank).select(
+    keys = ["source_file_id", "reject_rule", "line_number"]
+    lines = bad.select(*[F.col(k).alias(f"first_{k}") for k in keys]).distinct()
+    rank = F.row_number().over(Window.partitionBy("first_source_file_id", "first_reject_rule").orderBy("first_line_number"))
+    first = lines.withColumn("rank", rank).where(F.col("rank") <= samples)
+    same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys]
+    return bad.join(first, same, "left").select(
         "source_file_id", "line_number", F.col("reject_rule").alias("rule_name"), F.substring(detail, 1, 500).alias("detail"),
-        F.when(F.col("rank") <= samples, F.to_json(F.struct(*SURVEY_COLUMNS))).alias("raw_row"), F.current_timestamp().alias("rejected_at"))
+        F.when(F.col("rank").isNotNull(), F.to_json(F.struct(*SURVEY_COLUMNS))).alias("raw_row"), F.current_timestamp().alias("rejected_at"))
