@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, graph, linededup, neardup, packing, quality, sharding, syncmers, tokenfile, toxicity, warc
-from tidemark.llm.common import range_bounds
+from tidemark.llm.common import range_bounds, range_part
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 DDL = "doc_id long, text string, source string, n_chars long, slot string, hits int, `a.b` int"
@@ -304,8 +304,12 @@ def test_components(spark):
 
 
 def test_range_bounds_split_all(spark):
-    df = spark.range(1000)
-    assert len(range_bounds(df, "id", 8)) == 7 and range_bounds(df.limit(0), "id", 8) == []
+    df = spark.range(1000).select("id", F.concat(F.lit("é"), F.col("id") % 7).alias("t"))
+    bounds = range_bounds(df, "id", "t", 8)
+    assert len(bounds) == 7 and range_bounds(df.limit(0), "id", "t", 8) == []
+    placed = df.unionByName(spark.createDataFrame([(None, "x"), (bounds[3][0], None)], "id long, t string")).withColumn("part", range_part("id", "t", bounds)).collect()
+    for r in placed:
+        assert r.part == (0 if r.id is None else sum((k, t.encode()) <= (r.id, (r.t or "").encode()) for k, t in bounds))
 
 
 def test_toxicity_on_the_held_out_fold(spark):

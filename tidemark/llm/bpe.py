@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, col
+from tidemark.llm.common import arrow_batches, col, slices
 
 # The pretoken pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,8 +27,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE = 1 << 16
 #: A pretoken of more characters than this is streamed, one of fewer is merged at once.
 LONG_RUN = 256
-#: Pretokens in one generation of the memo; two generations are kept.
-MEMO = 200_000
+#: Pretokens in one generation of the memo, and the characters that one may have; two generations are kept.
+MEMO, LONGEST_KEPT = 200_000, 48
 _RUN_KINDS = [regex.compile(p) for p in (r"\s+", r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+")]
 _GOES_ON = [regex.compile(p) for p in (r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
 
@@ -161,6 +161,8 @@ class Memo:
             found = self.old.get(word)
             if found is None:
                 found = pack_ids(self.merges.merge(word.encode()))
+                if len(word) > LONGEST_KEPT:
+                    return found
             if len(self.young) >= self.size:
                 self.old, self.young = self.young, {}
             self.young[word] = found
@@ -270,18 +272,21 @@ def decode(ids: bytes, merges: Merges, block: int = 1 << 14) -> str:
 def transcode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, decoded): little-endian unsigned 32-bit ids of each whole text, and the text they decode to.
 
-    A null text is an empty one: no ids, an empty string. Repeated rows give equal rows.
+    A null text is an empty one: no ids, an empty string. Repeated rows give equal rows; an empty table gives none. A very
+    long text is encoded in bounded memory; its ids, being one value of a column, are held whole, beside those of a slice
+    of texts at most. Columns beside the two named are not read.
     """
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     bare = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     schema = bare.select("doc_id").schema.add("ids", "binary").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, memo = load(path), _memo(path)
         for batch in batches:
-            ids = [b"".join(encode(t or "", merges, memo)) for t in batch.column(1).to_pylist()]
-            texts = [decode(i, merges) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            for a, b in slices(batch.column(1)):
+                ids = [b"".join(encode(t or "", merges, memo)) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                texts = [decode(i, merges) for i in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return bare.mapInArrow(run, schema)
 

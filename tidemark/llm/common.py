@@ -6,15 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of the small side up to which a join broadcasts it; beyond, the join shuffles both sides.
-BROADCAST_ROWS = 50_000
-#: Rows of one Arrow batch. A batch holds whole texts, so it is kept far below Spark's 10,000.
-BATCH_ROWS = 1_000
+#: Rows and bytes of the small side up to which a join broadcasts it; beyond, the join shuffles both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
+#: Bytes of one Arrow batch at most (one row at least), and of the texts that a map works on at once.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 
 _scratch: dict[str, str] = {}
 
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not sc.master.startswith("local["):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _scratch:
         _scratch[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -33,8 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[sc.applicationId]
 
 
+#: Scratch folders that this process has named, oldest first.
+_named: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    _named.append(f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -45,9 +52,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def scratch_mark() -> int:
+    """A point in time for ``discard_scratch``."""
+    return len(_named)
+
+
+def discard_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the scratch folders named after ``since`` but those that ``keep`` reads; the number deleted.
+
+    Results that are still lazy read such folders, so write them first."""
+    needed = {f.removeprefix("file:").lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    conf, gone = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for path in _named[since:]:
+        plain = path.removeprefix("file:").lstrip("/") + "/"
+        if not any(f.startswith(plain) for f in needed):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            gone.append(path)
+    _named[since:] = [p for p in _named[since:] if p not in gone]
+    return len(gone)
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the bytes that one Arrow batch carries to a Python worker: the same bound for all plans of a session."""
+    if str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of about ``size`` bytes of texts, a text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, to
+        at = to
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -80,46 +119,72 @@ def append_columns(df: DataFrame, run: Callable, added: list[T.StructField]) ->
     return df.toDF(*names).mapInArrow(appended, schema).toDF(*df.columns, *(f.name for f in added))
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
+def _fits(small: DataFrame, rows: int) -> bool:
+    """Whether a written table may be broadcast: few rows, and few bytes in columns of any width."""
+    if small.limit(rows + 1).count() > rows:
+        return False
+    wide = [F.coalesce(F.octet_length(col(f.name)), F.lit(0)) for f in small.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    return not wide or (small.agg(F.sum(sum(wide, F.lit(0).cast("long"))).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
+
+
+def _spread(df: DataFrame, salts: int) -> Column:
+    """A salt that a repeated task deals alike: a hash of the whole row. Rows that are equal in all columns share one."""
+    return F.pmod(F.xxhash64(*[col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))], F.lit("salt")), F.lit(salts))
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a small, already written table to a big one.
 
-    The small side is counted. Up to BROADCAST_ROWS it is broadcast. Beyond, both sides shuffle and the key is
-    salted: every row of the small side is copied ``salts`` times, so a hot key of the big side spreads over tasks.
+    The small side is counted. Up to ``rows`` (and BROADCAST_BYTES) it is broadcast. Beyond, both sides shuffle and the
+    key is salted: every row of the small side is copied ``salts`` times, so a hot key of the big side spreads over tasks.
     ``how`` may be inner, left, left_semi or left_anti, seen from the big side.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _fits(small, rows):
         return big.join(F.broadcast(small), on, how)
     (salt,) = fresh(big, "salt")
-    dealt = big.withColumn(salt, F.pmod(F.xxhash64(*map(col, big.columns[:2]), F.monotonically_increasing_id()), F.lit(salts)))
+    dealt = big.withColumn(salt, _spread(big, salts))
     copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(copied, [*on, salt], how).drop(salt)
 
 
-def range_bounds(df: DataFrame, name: str, parts: int) -> list[int]:
-    """Up to parts - 1 ascending cut points of an integer column, from a mergeable quantile sketch of all rows."""
-    if parts <= 1:
-        return []
-    steps = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(col(name), steps, 100 * parts).alias("q")).first()
-    return sorted(set(row["q"] or []))
+#: Code points of a text that the bounds of ranges know.
+HEAD = 32
 
 
-def range_part(name: str, bounds: list[int]) -> Column:
-    """How many cut points lie below the value: equal values share a part, parts ascend. Nulls are in part 0."""
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(_search(name, bounds), F.lit(0))
+def text_parts(df: DataFrame, text: str, size: int) -> int:
+    """Partitions of about ``size`` bytes of texts, not fewer than the session's shuffle partitions."""
+    total = df.agg(F.sum(F.octet_length(col(text)).cast("long")).alias("n")).first()["n"] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
 
 
-def _search(name: str, bounds: list[int]) -> Column:
-    """Binary search over the cut points as nested conditions, so a row meets about log2 of them."""
-    def part(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col(name) > F.lit(bounds[mid]), part(mid + 1, hi)).otherwise(part(lo, mid))
+def range_bounds(df: DataFrame, name: str, text: str, parts: int, rows: int = 100) -> list[tuple[int, str]]:
+    """Up to parts - 1 ascending cut points (integer, head of text), from a sample of about ``rows`` rows a part.
 
-    return F.when(col(name).isNotNull(), part(0, len(bounds)))
+    The cut points place rows and decide about balance alone; results don't depend on them."""
+    n = df.count()
+    if parts <= 1 or not n:
+        return []
+    keys = df.select(col(name).alias("k"), F.coalesce(F.substring(col(text), 1, HEAD), F.lit("")).alias("t")).where("k is not null")
+    share = min(1.0, rows * parts / n)
+    picked = sorted(((r["k"], r["t"].encode()) for r in (keys if share == 1.0 else keys.sample(share, 11)).collect()))
+    cuts = sorted({picked[len(picked) * i // parts] for i in range(1, parts)}) if picked else []
+    return [(k, t.decode()) for k, t in cuts]
+
+
+def range_part(name: str, text: str, bounds: list[tuple[int, str]]) -> Column:
+    """How many cut points lie at or below (value, text): equal rows share a part, parts ascend. Nulls are in part 0.
+
+    A binary search over two array literals: the expression is of one size, however many bounds there are."""
+    if not bounds:
+        return F.lit(0)
+    n = len(bounds)
+    keys = F.split(F.lit(",".join(str(k) for k, _ in bounds)), ",").cast("array<bigint>")
+    heads = F.split(F.lit(",".join(t.encode().hex() for _, t in bounds)), ",")
+    key, head = col(name), F.lower(F.hex(F.encode(F.coalesce(F.substring(col(text), 1, HEAD), F.lit("")), "utf-8")))
+    reached = lambda i: (F.get(keys, i) < key) | ((F.get(keys, i) == key) & (F.get(heads, i) <= head))
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & reached(at + step - 1), at + step).otherwise(at))
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_batches, col, materialize
-from tidemark.llm.tokens import MEMO, tokenizer
+from tidemark.llm.tokens import tokenizer
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -129,12 +129,12 @@ _REST = "start long, length long, doc_tokens long, sequence_id long, offset long
 _ROUND, _TASK = 56, 32
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = WINDOW, windows: int = OPEN_WINDOWS, end_id: int = END_ID, fan_in: int = FAN_IN, doc_id: str = "doc_id", text: str = "text", memo: int = MEMO) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = WINDOW, windows: int = OPEN_WINDOWS, end_id: int = END_ID, fan_in: int = FAN_IN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A document's ids are the tokenizer's and then ``end_id``; a null or empty text is ``end_id`` alone. Every sequence is
     ``size`` ids long, but for the last ones, which are powers of two. Repeated rows are packed each on its own. An empty
-    table gives no rows. ``memo`` bounds the chunks that a worker remembers, at about 400 bytes each.
+    table gives no rows. A very long text gives full windows as it is cut; columns beside the two named are not read.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -143,7 +143,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = WINDOW, windows: int
     schema = f"doc_id {id_kind}, {_REST}"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk, packer, part, made, id_type = tokenizer(path, memo), Packer(size, windows), TaskContext.get().partitionId(), 0, pa.int64()
+        tk, packer, part, made, id_type = tokenizer(path), Packer(size, windows), TaskContext.get().partitionId(), 0, pa.int64()
         base = part << _TASK
         for batch in batches:
             id_type = batch.schema.field(0).type

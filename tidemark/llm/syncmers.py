@@ -15,10 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, col, range_bounds, range_part
+from tidemark.llm.common import HEAD, arrow_batches, col, range_bounds, range_part, text_parts
 
 K, S = 24, 6
 #: Texts of fewer code points than SHORT are anchored at a finer scale, too.
@@ -28,6 +28,8 @@ FINE = np.uint64(1 << 32)
 SKETCH = 128
 #: Code points that are hashed at once.
 CHUNK = 1 << 18
+#: Bytes of text that a range of documents should hold, on average.
+PART_BYTES = 64 << 20
 #: Orders a null document id below all others.
 NO_ID = -(1 << 63)
 
@@ -172,28 +174,32 @@ def anchor_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, borrowed, key, doc_id, text), sorted so that each document is followed by the next in descending id.
 
-    Documents are dealt into ranges of ids; each range also borrows the first document of the range below it, and the
-    lowest one that of the highest, so every document but a borrowed one has its follower in its own partition. Equal ids
-    follow each other by text.
+    Documents are dealt into ranges of (descending id, beginning of the text); each range also borrows the first document of
+    the range after it, and the last one that of the first, so every document but a borrowed one has its follower in its
+    own partition. Equal ids follow each other by text. The plan is of one size, however many ranges there are.
     """
-    spark = docs.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bare = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), col(doc_id).alias("doc_id"), col(text).alias("text"))
-    placed = bare.withColumn("part", range_part("key", range_bounds(bare, "key", 2 * shuffle)))
-    found = placed.groupBy("part").agg(F.max("key").alias("head")).orderBy("part").collect()  # a row a range
-    if not found:
-        return placed.withColumn("borrowed", F.lit(False)).select("part", "borrowed", "key", "doc_id", "text")
-    heads, parts = [r["head"] for r in found], [r["part"] for r in found]
-    to = dict(zip(heads, [*parts[1:], parts[0]], strict=True))
-    target = F.coalesce(*[F.when(F.col("key") == h, F.lit(p)) for h, p in to.items()])
-    borrowed = bare.where(F.col("key").isin(heads)).withColumn("part", target).withColumn("borrowed", F.lit(True))
-    both = placed.withColumn("borrowed", F.lit(False)).unionByName(borrowed).select("part", "borrowed", "key", "doc_id", "text")
-    return both.repartition(max(shuffle, 1), "part").sortWithinPartitions("part", "borrowed", F.col("key").desc(), "text")
+    bare = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
+    parts = text_parts(bare, "text", PART_BYTES)
+    # Cut points ascend, so ranges are found on the key's complement, which ascends as the key falls.
+    down = bare.withColumn("down", F.bitwise_not("key"))
+    placed = down.withColumn("part", range_part("down", "text", range_bounds(down, "down", "text", parts)))
+    heads = placed.groupBy(F.col("part").alias("of")).agg(F.min("down").alias("head"))
+    order = Window.orderBy("of")  # a row a range
+    before = F.coalesce(F.lag("of").over(order), F.max("of").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.withColumn("to", before)
+    borrowed = placed.join(F.broadcast(heads), (F.col("part") == F.col("of")) & (F.col("down") == F.col("head"))).withColumn("part", F.col("to"))
+    columns = ["part", "borrowed", "key", "doc_id", "text"]
+    both = placed.withColumn("borrowed", F.lit(False)).select(*columns).unionByName(borrowed.withColumn("borrowed", F.lit(True)).select(*columns))
+    return both.repartitionById(parts, "part").sortWithinPartitions("part", "borrowed", F.col("key").desc(), "text")
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last third is the beginning of the next document, and how
-    alike they are. Nulls are empty texts. A single document is its own next one; repeated rows follow each other."""
+    alike they are.
+
+    Nulls are empty texts; null ids come last. A single document is its own next one; repeated rows follow each other. Very
+    long texts are anchored whole, CHUNK code points at a time. An empty table gives no rows; other columns are not read.
+    """
     arrow_batches(docs.sparkSession)
     ordered = with_next(docs, doc_id, text)
     kind = ordered.schema["doc_id"].dataType.simpleString()

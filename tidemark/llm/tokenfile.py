@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import files
-from tidemark.llm.common import arrow_batches, col, materialize, range_bounds, range_part, scratch_path
+from tidemark.llm.common import HEAD, arrow_batches, col, materialize, scratch_path, text_parts
 from tidemark.llm.tokens import tokenizer
 
 END_ID = 2
-#: Rows that a part should hold at most, on average.
-PART_ROWS = 20_000
+#: Bytes of text that a part should hold, on average.
+PART_BYTES = 64 << 20
 #: Stands for a null document id.
 NO_ID = -(1 << 63)
 
@@ -59,36 +59,28 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, end
     """Write the data set into ``folder`` (one in the shared folder if None); returns its list of parts with their ``base``.
 
     Document ids are integers. Nulls sort first and are kept as NO_ID; a null or empty text is ``end_id`` alone; repeated
-    rows stand next to each other, by their text.
+    rows stand next to each other, by their text. A very long text is one document of one part, written as a batch; an
+    empty table has no parts; columns beside the two named are not read.
+
+    Parts are ranges of (id, beginning of the text), so an id that many rows have spreads over parts. Spark samples the
+    ranges; a part's number is its partition's.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     folder = folder or scratch_path(spark, "token-files")
-    bare = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2 * shuffle, docs.count() // PART_ROWS)
-    bounds = range_bounds(bare, "doc_id", parts)
-    dealt = bare.withColumn("part", range_part("doc_id", bounds).cast("long")).repartition(max(shuffle, parts // 4), "part").sortWithinPartitions("part", "doc_id", "text")
+    bare = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
+    parts = text_parts(bare, "text", PART_BYTES)
+    dealt = bare.repartitionByRange(parts, F.col("doc_id"), F.coalesce(F.substring("text", 1, HEAD), F.lit(""))).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk, now, closed = tokenizer(path), None, []
+        tk, part = tokenizer(path), None
         dtype = "<u2" if max(tk.library.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
         for batch in batches:
-            of = batch.column(2).to_numpy()
-            ids, starts = tk.encode(batch.column(1))
-            docs = batch.column(0).fill_null(NO_ID).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if now is None or now.part != of[a]:
-                    if now:
-                        closed.append(now.close())
-                    now = _Part(folder, int(of[a]), dtype)
-                own = starts[a : b + 1]
-                now.add(docs[a:b], _with_end(ids[own[0] : own[-1]], own - own[0], end_id), np.diff(own) + 1)
-        if now:
-            closed.append(now.close())
+            if batch.num_rows:
+                part = part or _Part(folder, TaskContext.get().partitionId(), dtype)
+                ids, starts = tk.encode(batch.column(1))
+                part.add(batch.column(0).fill_null(NO_ID).to_numpy(), _with_end(ids, starts, end_id), np.diff(starts) + 1)
+        closed = [part.close()] if part else []
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*closed, strict=True) if closed else [[]] * 5, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "dtype", "documents", "tokens"])
 
     listed = materialize(dealt.mapInArrow(write, _PARTS), "token-parts")
@@ -102,7 +94,13 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, end
                 files.put(row["path"] + ".idx", (row["base"] + np.concatenate([[0], np.cumsum(sizes)])).astype("<u8").tobytes())
             yield batch
 
-    return materialize(based.repartition(shuffle).mapInArrow(offsets, _PARTS + ", base long"), "token-list")
+    return materialize(_one_each(based).mapInArrow(offsets, _PARTS + ", base long"), "token-list")
+
+
+def _one_each(parts: DataFrame) -> DataFrame:
+    """Parts dealt one by one over as many tasks as there are shuffle partitions."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartitionById(n, F.pmod(F.col("part"), F.lit(n)).cast("int"))
 
 
 def read_token_files(parts: DataFrame, block: int = 1 << 20) -> DataFrame:
@@ -125,8 +123,7 @@ def read_token_files(parts: DataFrame, block: int = 1 << 20) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(idx[at:to]), ids], ["doc_id", "start", "ids"])
                     at = to
 
-    spread = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.mapInArrow(read, "doc_id long, start long, ids binary")
+    return _one_each(parts).mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
