@@ -3,21 +3,29 @@
 1. Texts become sets of hashed word shingles; equal sets are one class, whatever its size, and only one representative of
    each goes on.
 2. A representative has one label of minima a tree. A tree's labels are sorted, so those with a long common prefix stand
-   together, as in a prefix trie. The matched prefix is shortened until the expected recall of pairs at the threshold, over
-   all trees, reaches the target; what still shares that much is a candidate of its neighbours in the order and of the
-   first label with each longer or equal prefix. So a bucket of any size gives a few candidates a label, not all pairs.
-3. Candidate pairs whose signatures rule the threshold out are dropped; the rest form groups.
-4. Inside a group all pairs are verified on the whole shingle sets. A large group is cut into blocks and each pair of
-   blocks is a task; tasks return counts of links and a spanning forest of the links, never pairs.
+   together, as in a prefix trie. A label's candidates are the two labels before it and the first label with each prefix
+   that it shares, so a bucket of any size gives a few candidates a label, not all pairs. Labels are sorted over all
+   partitions; what crosses a partition's edge is settled from a small table of those edges, so the candidates don't
+   depend on how many partitions there are.
+3. Candidate pairs whose signatures rule the threshold out are dropped. The matched prefix starts at a tree's whole depth
+   and is shortened, level by level, until the pairs found at a level are the target share of all that the forest can find.
+   The rest form groups.
+4. Inside a group all pairs are verified on the whole shingle sets. A large group is cut into blocks by set size; two
+   blocks whose sizes rule the threshold out never meet, and each other pair of blocks is a task. Tasks return counts of
+   links and a spanning forest of the links, never pairs.
 """
 
 from __future__ import annotations
 
+import json
+import logging
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +35,12 @@ from tidemark.llm.graph import components
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 6
+#: The shortest prefix that is tried: a pair at the threshold shares so much in some tree with probability 1 - 6e-7.
+LEAST_PREFIX = 3
+#: Share of the pairs of the shortest prefix at which shortening stops.
 RECALL = 0.9999
-#: Documents in a block of a group.
-BLOCK = 256
+#: Documents and shingles in a block of a group.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 #: Standard errors that a signature may be off before a candidate is dropped.
 SLACK = 5.0
 
@@ -83,12 +94,9 @@ def set_key(found: np.ndarray) -> int:
         return int(_mix(total[:1] * _M1 + _mix(total[1:]))[0].astype("i8"))
 
 
-def prefix_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with at least this probability."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+def chance(similarity: np.ndarray, prefix: int, trees: int = TREES) -> np.ndarray:
+    """The probability that a pair of this similarity shares the prefix in some tree."""
+    return 1 - (1 - similarity**prefix) ** trees
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,57 +115,177 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return bare.mapInArrow(run, "doc_id long, node long, size long, sig binary")
 
 
+class _Edge(NamedTuple):
+    """What a partition of sorted labels shows to those after it."""
+
+    part: int
+    heads: list  # its first two rows and its last two: (tree, label, node)
+    tails: list
+    firsts: list  # of its last row, the first row of each prefix inside the partition: (node, whether it is the first row of all)
+
+
+_TREE = "a long, b long, depth int, part int, waits int, edge string"
+_TREE_NAMES = ["a", "b", "depth", "part", "waits", "edge"]
+
+
+def _places(tree: np.ndarray, label: np.ndarray, node: np.ndarray) -> list[tuple[int, list[int], int]]:
+    return list(zip(tree.tolist(), label.tolist(), node.tolist(), strict=True))
+
+
 def _tree_edges(prefix: int):
-    """Edges between neighbours in sorted labels: each label with the two before it, and with the first that shares its
-    prefix at each depth from ``prefix`` on."""
+    """Pairs of neighbours in sorted labels: each label with the two before it, and with the first that shares its prefix at
+    each depth from ``prefix`` on, with the depth of the prefix that both share.
+
+    A label that begins with the prefix of its partition's first label waits: the first label with that prefix may be in an
+    earlier partition. It says so by its part and has the first inside the partition for now. The last row of a partition
+    is its edge.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows that the next batch may meet: the first ones of open prefixes, and the last two
+        part, held, seen = TaskContext.get().partitionId(), None, 0
+        heads: list[tuple[int, list[int], int]] = []
+        levels = range(prefix, DEPTH + 1)
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             label = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, DEPTH)
+            place = np.arange(seen, seen + len(node))
+            seen += len(node)
+            heads = (heads + _places(tree[:2], label[:2], node[:2]))[:2]
             if held is not None:
-                tree, node, label = (np.concatenate([h, x]) for h, x in zip(held, (tree, node, label), strict=True))
-            n = len(node)
+                tree, node, label, place = (np.concatenate([h, x]) for h, x in zip(held, (tree, node, label, place), strict=True))
+            n, new = len(node), 0 if held is None else len(held[1])
+            index = np.arange(n)
             change = np.ones((n, DEPTH + 1), bool)
             change[1:, 0] = tree[1:] != tree[:-1]
             for k in range(DEPTH):
                 change[1:, k + 1] = change[1:, k] | (label[1:, k] != label[:-1, k])
-            index = np.arange(n)
-            firsts = {k: np.maximum.accumulate(np.where(change[:, k], index, 0)) for k in range(prefix, DEPTH + 1)}
-            to = [firsts[k] for k in firsts] + [np.maximum(index - k, firsts[prefix]) for k in (1, 2)]
-            a, b = node[np.concatenate(to)], np.tile(node, len(to))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            keep = np.unique([*(f[-1] for f in firsts.values()), max(0, n - 2), n - 1])
-            held = tree[keep], node[keep], label[keep]
+            firsts = {k: np.maximum.accumulate(np.where(change[:, k], index, 0)) for k in levels}
+            same_head = {k: (tree == heads[0][0]) & (label[:, :k] == heads[0][1][:k]).all(1) for k in levels}
+
+            def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                equal = (label[x] == label[y]) & (tree[x] == tree[y])[:, None]
+                return np.cumprod(equal, 1).sum(1)
+
+            rows = []  # a, b, depth, whether it waits
+            own = index[new:]
+            for k in levels:
+                open_ = same_head[k][own]
+                settled, waits = own[~open_ & (firsts[k][own] != own)], own[open_]
+                rows.append((node[settled], node[firsts[k][settled]], shared(settled, firsts[k][settled]), np.zeros(len(settled), bool)))
+                rows.append((node[waits], node[firsts[k][waits]], np.full(len(waits), k), np.ones(len(waits), bool)))
+            for back in (1, 2):
+                behind = own[own >= back]
+                inside = behind[firsts[prefix][behind] <= behind - back]
+                rows.append((node[inside], node[inside - back], shared(inside, inside - back), np.zeros(len(inside), bool)))
+            a, b, depth, waits = (np.concatenate(c) for c in zip(*rows, strict=True))
+            keep = (a != b) | waits
+            if keep.any():
+                yield _tree_rows(a[keep], b[keep], depth[keep], part, waits[keep])
+            kept = np.unique([*(f[-1] for f in firsts.values()), max(0, n - 2), n - 1])
+            held = tree[kept], node[kept], label[kept], place[kept]
+        if held is not None:
+            tree, node, label, place = held
+            firsts = [np.flatnonzero((tree == tree[-1]) & (label[:, :k] == label[-1, :k]).all(1))[0] for k in levels]
+            edge = _Edge(part, heads, _places(tree[-2:], label[-2:], node[-2:]), [(int(node[i]), int(place[i]) == 0) for i in firsts])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.int32()) for _ in range(3)), pa.array([json.dumps(edge)])], _TREE_NAMES)
 
     return run
 
 
-def candidates(reps: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of nodes that share a long enough prefix in a tree and whose signatures don't rule the threshold out."""
+def _tree_rows(a: np.ndarray, b: np.ndarray, depth: np.ndarray, part: int, waits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32()), pa.array(np.full(len(a), part), pa.int32()),
+        pa.array(waits.astype("i4")), pa.nulls(len(a), pa.string())], _TREE_NAMES)
+
+
+def _common(x: tuple, y: tuple) -> int:
+    """How many minima two labels of one tree share from the first on; -1 in different trees."""
+    if x[0] != y[0]:
+        return -1
+    return next((k for k, (i, j) in enumerate(zip(x[1], y[1], strict=True)) if i != j), DEPTH)
+
+
+def _carried(edges: list[_Edge], prefix: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """From the edges of all partitions: (part, depth, node) of the first label with a prefix that a partition begins in the
+    midst of, and the pairs (a, b, depth) of a label and the one or two before it across partitions."""
+    firsts, pairs = [], []
+    open_: dict[int, int] = {}  # first node of each prefix of the last label so far
+    tails: list[tuple] = []  # the last two labels so far
+    for edge in sorted(edges):
+        common = _common(tails[-1], edge.heads[0]) if tails else -1
+        carried = {k: node for k, node in open_.items() if k <= common}
+        firsts += [(edge.part, k, node) for k, node in carried.items()]
+        for i, head in enumerate(edge.heads):
+            for back, tail in enumerate(reversed(tails), 1):
+                if i + back <= 2 and (depth := _common(tail, head)) >= prefix:
+                    pairs.append((head[2], tail[2], depth))
+        open_ = {k: carried[k] if is_head and k in carried else node for k, (node, is_head) in enumerate(edge.firsts, prefix)}
+        tails = (tails + edge.tails)[-2:]
+    return firsts, pairs
+
+
+def forest_pairs(reps: DataFrame, prefix: int = LEAST_PREFIX) -> DataFrame:
+    """(a, b, depth) of candidate pairs of nodes: the longest prefix that they share in a tree, ``prefix`` at least."""
     spark = reps.sparkSession
-    arrow_batches(spark, 20_000)
     width = 2 * DEPTH
     label = F.substring(F.col("sig"), F.col("tree") * width + 1, F.lit(width))
     labels = reps.where("size > 0").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", label.alias("label"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = labels.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    pairs = ordered.mapInArrow(_tree_edges(prefix_for(recall, threshold)), "a long, b long").distinct()
+    walked = materialize(ordered.mapInArrow(_tree_edges(prefix), _TREE), "forest")
+    edges = [_Edge(*json.loads(r["edge"])) for r in walked.where("edge is not null").select("edge").collect()]  # a row a partition
+    firsts, crossing = _carried(edges, prefix)
+    carried = F.broadcast(spark.createDataFrame(firsts, "part int, depth int, first long"))
+    settled = walked.where("waits = 0").select("a", "b", "depth").unionByName(spark.createDataFrame(crossing, "a long, b long, depth int"))
+    waited = walked.where("waits = 1").join(carried, ["part", "depth"], "left").select("a", F.coalesce("first", "b").alias("b"), "depth").where("a <> b")
+    return settled.unionByName(waited).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth"))
+
+
+class Forest(NamedTuple):
+    """How far prefixes were shortened, and the share of the forest's similar pairs that have such a prefix."""
+
+    prefix: int
+    recall: float
+    pairs: int
+
+
+def shortened(counts: dict[int, int], expected: float, target: float) -> Forest:
+    """The longest prefix at which the pairs found reach the target share of those expected. ``counts`` has the similar
+    pairs by the longest prefix that they share."""
+    found = 0
+    for prefix in range(DEPTH, LEAST_PREFIX - 1, -1):
+        found += counts.get(prefix, 0)
+        if not expected or found >= target * expected or prefix == LEAST_PREFIX:
+            return Forest(prefix, found / expected if expected else 1.0, found)
+    raise AssertionError
+
+
+def candidates(reps: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[DataFrame, Forest]:
+    """(a, b) of nodes that share a long enough prefix in a tree and whose signatures don't rule the threshold out; and how
+    long was enough.
+
+    A pair counts as similar for the recall if its signatures agree by the threshold. Each pair found stands for the pairs
+    of its similarity that share no prefix of LEAST_PREFIX.
+    """
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u2").reshape(-1, TREES * DEPTH) for i in (2, 3))
-            keep = pa.array((x == y).mean(1) >= least) if len(x) else pa.array([], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u2").reshape(-1, TREES * DEPTH) for i in (3, 4))
+            share = (x == y).mean(1) if len(x) else np.zeros(0)
+            stands = np.where(share >= threshold, 1 / chance(np.maximum(share, threshold), LEAST_PREFIX), 0.0)
+            rows = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(stands)], ["a", "b", "depth", "stands"])
+            yield rows.filter(pa.array(share >= least))
 
     one = reps.select(F.col("node").alias("a"), F.col("sig").alias("x"))
     two = reps.select(F.col("node").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    joined = forest_pairs(reps).join(one, "a").join(two, "b").select("a", "b", "depth", "x", "y")
+    similar = materialize(joined.mapInArrow(alike, "a long, b long, depth int, stands double"), "similar")
+    levels = similar.where("stands > 0").groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum("stands").alias("s")).collect()  # a row a level
+    forest = shortened({r["depth"]: r["n"] for r in levels}, sum(r["s"] for r in levels), recall)
+    logging.getLogger(__name__).info("prefix %d of %d, recall %.6f over %d similar pairs", forest.prefix, DEPTH, forest.recall, forest.pairs)
+    return similar.where(F.col("depth") >= forest.prefix).select("a", "b"), forest
 
 
 def _verify(threshold: float):
@@ -224,27 +352,44 @@ def _shingled(wanted: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, "node long, shingles binary")
 
 
+def _blocks(groups: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(node, rep, copies, comp, block, others): a group of up to BLOCK documents is one block. A larger one is cut by bands
+    of set size, a band into blocks by a hash. Sets that are alike by the threshold are in one band or in two that adjoin,
+    so a block meets those of its own band and of the bands beside it."""
+    member = groups.join(reps.select("node", "rep", "copies", "size"), "node").where("rep is not null")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1 / threshold * (1 + 1e-9)))).cast("long")
+    banded = member.withColumn("band", band)
+    cut = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    bands = banded.groupBy("root", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    plans = bands.groupBy("root").agg(
+        (F.sum("n") <= BLOCK).alias("few"), (F.sum("shingles") <= BLOCK_SHINGLES).alias("light"), F.map_from_entries(F.collect_list(F.struct("band", cut.alias("cut")))).alias("cuts"))
+    plans = materialize(plans.select("root", (F.col("few") & F.col("light")).alias("single"), "cuts"), "block-plans")
+    of = lambda b: F.transform(F.sequence(F.lit(0).cast("long"), F.try_element_at("cuts", b) - 1), lambda i: b * (1 << 32) + i)
+    near = F.flatten(F.array(*[F.when(F.try_element_at("cuts", F.col("band") + d).isNotNull(), of(F.col("band") + d)).otherwise(F.array().cast("array<bigint>")) for d in (-1, 0, 1)]))
+    own = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.try_element_at("cuts", F.col("band")))
+    zero = F.lit(0).cast("long")
+    return join_checked(banded, plans, ["root"], "inner").select(
+        "node", "rep", "copies", F.col("root").alias("comp"), F.when(F.col("single"), zero).otherwise(own).alias("block"), F.when(F.col("single"), F.array(zero)).otherwise(near).alias("others"))
+
+
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, copy_of) of each row of docs.
 
     A link joins two documents whose sets of five-word shingles have a Jaccard similarity of at least ``threshold``;
     documents with equal sets are linked, those without words with each other alone. ``class_id`` is the least id that
     links lead to, ``copy_of`` the least id with an equal set. Copies count as links, each row one. Nulls are texts
-    without words; a class with no id at all has a null class_id, and is linked to its copies alone.
+    without words; a class with no id at all has a null class_id, and is linked to its copies alone. Very long texts are
+    whole sets, in blocks of few documents. An empty table gives no rows; columns beside the two named are not read.
     """
     spark = docs.sparkSession
     signed = materialize(signatures(docs, doc_id, text), "signatures")
     reps = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "representatives")
-    groups = materialize(components(materialize(candidates(reps, recall, threshold), "candidates")), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").join(reps.select("node", "rep", "copies"), "node").where("rep is not null")
-    placed = materialize(placed.select("node", "rep", "copies", F.col("root").alias("comp"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "placed")
-    arrow_batches(spark, 500)
+    groups = materialize(components(candidates(reps, recall, threshold)[0]), "groups")
+    placed = materialize(_blocks(groups, reps, threshold), "placed")
     bare = docs.select(col(doc_id).cast("long").alias("rep"), col(text).alias("text"))
     wanted = join_checked(bare, placed.select("rep").distinct(), ["rep"], "left_semi")
     shingled = _shingled(wanted, SHINGLE).join(placed, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = shingled.withColumn("other", other).select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "copies", "shingles")
+    dealt = shingled.withColumn("other", F.explode("others")).select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "copies", "shingles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["comp", "lo", "hi"]
     verified = materialize(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold), "node long, other long, links long"), "links")
