@@ -1,8 +1,8 @@
 """Host-level quality rules.
 
-Documents are measured one by one; rule failures are added up by host; each host's failure rate is shrunk towards all
-hosts by a beta prior fitted to the hosts themselves; the host's verdict goes back to its documents and sets how strict
-the rules are for them.
+Documents are measured one by one; failures of each rule are added up by host; a host's failure rate of each rule is shrunk
+towards all hosts by a beta prior fitted to the hosts themselves; the host's verdict goes back to its documents: rules that
+the host fails often are stricter for them, and a host that fails nearly always loses all.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ MAX_REPEAT_SHARE = 0.5
 MAX_SYMBOLS = 0.2
 MAX_DUP_LINES = 0.5
 MAX_MEAN_WORD = 25.0
-#: A host whose shrunk failure rate is above STRICT_RATE halves those limits for its documents. A host above BLOCK_RATE
-#: even two standard deviations below its rate loses all its documents.
+#: A host whose shrunk failure rate of one of those rules is above STRICT_RATE halves the rule's limit for its documents. A
+#: host that fails any rule at a rate above BLOCK_RATE, even two standard deviations below its rate, loses all documents.
 STRICT_RATE = 0.4
 BLOCK_RATE = 0.9
 #: Prior strength in documents: bounds of the fit.
@@ -75,68 +76,89 @@ def base_failed(m: dict[str, Column]) -> Column:
     return (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] > MAX_REPEAT_SHARE * m["n_words"])
 
 
-def severity(m: dict[str, Column]) -> Column:
-    """How near a document is to the limits of the further rules: above 1 it fails one."""
+#: Rules in the order of their failure counts: the base ones, those with a limit of their own, and any of them.
+LIMITED = ("symbols", "dup_lines", "long_words")
+RULES = ("short", "repeated", *LIMITED, "any")
+
+
+def shares(m: dict[str, Column]) -> dict[str, Column]:
+    """How near a document is to the limit of each further rule: above 1 it fails."""
     words = F.greatest(m["n_words"], F.lit(1))
-    return F.greatest(
-        m["n_symbols"] / words / MAX_SYMBOLS,
-        m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)) / MAX_DUP_LINES,
-        m["word_chars"] / words / MAX_MEAN_WORD / 2 + F.when(m["word_chars"] / words > MAX_MEAN_WORD, F.lit(1.0)).otherwise(F.lit(0.0)),
-    )
+    return {
+        "symbols": m["n_symbols"] / words / MAX_SYMBOLS,
+        "dup_lines": m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)) / MAX_DUP_LINES,
+        # Half the limit is no sign of junk for word lengths: below the limit a share counts half.
+        "long_words": m["word_chars"] / words / MAX_MEAN_WORD / 2 + F.when(m["word_chars"] / words > MAX_MEAN_WORD, F.lit(1.0)).otherwise(F.lit(0.0)),
+    }
+
+
+def failures(m: dict[str, Column]) -> dict[str, Column]:
+    """Whether a document fails each of RULES."""
+    found = {"short": m["n_words"] < MIN_WORDS, "repeated": m["n_repeat_words"] > MAX_REPEAT_SHARE * m["n_words"]} | {k: v > 1 for k, v in shares(m).items()}
+    return found | {"any": reduce(lambda a, b: a | b, found.values())}
+
+
+def fitted_strength(mean: float, spread: float, hosts: int, docs: int) -> float:
+    """Strength, in documents, of the beta prior whose mean is that of all documents: from the spread of the hosts' rates
+    beyond what binomial noise explains. With a single host, or no such spread, it is the strongest allowed."""
+    if not docs or not 0 < mean < 1 or hosts < 2:
+        return STRONGEST
+    noise = mean * (1 - mean) * hosts / docs
+    return min(STRONGEST, max(WEAKEST, mean * (1 - mean) / (spread - noise) - 1)) if spread > noise else STRONGEST
 
 
 def host_verdicts(measured: DataFrame, host: str, m: dict[str, Column]) -> DataFrame:
-    """(host, host_docs, host_rate, host_verdict) of every host: its shrunk failure rate, and open, strict or blocked.
+    """(host, host_docs, host_rate, strict_rules, host_verdict) of every host.
 
-    The prior is beta(mean * strength, (1 - mean) * strength); the strength comes from the spread of the hosts' rates
-    beyond what binomial noise explains. With a single host, or no such spread, it is the strongest allowed.
+    ``host_rate`` is its shrunk rate of failing any rule, ``strict_rules`` those of LIMITED whose shrunk rate is above
+    STRICT_RATE, ``host_verdict`` blocked, strict (there is such a rule) or open. A rule's prior is beta(mean * strength,
+    (1 - mean) * strength), see ``fitted_strength``.
     """
-    failed = base_failed(m) | (severity(m) > 1)
+    failed = failures(m)
     hosts = materialize(measured.groupBy(F.coalesce(col(host), F.lit("")).alias("host")).agg(
-        F.count(F.lit(1)).alias("host_docs"), F.count_if(failed).alias("host_failed")), "hosts")
-    total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.count(F.lit(1)).alias("h")).first()
-    mean = total["f"] / total["n"] if total["n"] else 0.0
-    strength = STRONGEST
-    if total["n"] and 0 < mean < 1 and total["h"] > 1:
-        rate = F.col("host_failed") / F.col("host_docs")
-        spread = hosts.agg((F.sum(F.col("host_docs") * (rate - mean) ** 2) / F.lit(total["n"])).alias("v")).first()["v"]
-        noise = mean * (1 - mean) * total["h"] / total["n"]
-        if spread > noise:
-            strength = min(STRONGEST, max(WEAKEST, mean * (1 - mean) / (spread - noise) - 1))
-    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    error = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_docs") + F.lit(strength + 1)))
-    verdict = F.when(F.col("host_rate") - 2 * error > BLOCK_RATE, "blocked").when(F.col("host_rate") > STRICT_RATE, "strict").otherwise("open")
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_verdict", verdict).drop("host_failed")
+        F.count(F.lit(1)).alias("host_docs"), *[F.count_if(failed[r]).alias(f"failed_{r}") for r in RULES]), "hosts")
+    total = hosts.agg(F.sum("host_docs").alias("n"), F.count(F.lit(1)).alias("h"), *[F.sum(f"failed_{r}").alias(r) for r in RULES]).first()
+    mean = {r: total[r] / total["n"] if total["n"] else 0.0 for r in RULES}
+    rate = {r: F.col(f"failed_{r}") / F.col("host_docs") for r in RULES}
+    spread = hosts.agg(*[(F.sum(F.col("host_docs") * (rate[r] - mean[r]) ** 2) / F.lit(max(1, total["n"] or 0))).alias(r) for r in RULES]).first()
+    strength = {r: fitted_strength(mean[r], spread[r] or 0.0, total["h"], total["n"]) for r in RULES}
+    shrunk = {r: (F.col(f"failed_{r}") + F.lit(mean[r] * strength[r])) / (F.col("host_docs") + F.lit(strength[r])) for r in RULES}
+    error = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_docs") + F.lit(strength["any"] + 1)))
+    strict = F.array_compact(F.array(*[F.when(shrunk[r] > STRICT_RATE, F.lit(r)) for r in LIMITED]))
+    verdict = F.when(F.col("host_rate") - 2 * error > BLOCK_RATE, "blocked").when(F.size("strict_rules") > 0, "strict").otherwise("open")
+    return hosts.withColumns({"host_rate": shrunk["any"], "strict_rules": strict}).withColumn("host_verdict", verdict).select("host", "host_docs", "host_rate", "strict_rules", "host_verdict")
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, host, the measures, base_failed, host_rate, host_verdict, kept.
+    """One row a document: doc_id, host, the measures, base_failed, host_docs, host_rate, strict_rules, host_verdict, kept.
 
     A null text measures as empty and fails; null hosts form one host named ''; repeated rows are judged alike, each on
-    its own row. Measures are made once and written, since they feed the hosts and the verdicts.
+    its own row. Measures are made once and written, since they feed the hosts and the verdicts. Very long texts are measured
+    whole; an empty table gives no rows; columns beside the three named are not read.
     """
     bare = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(host).cast("string"), F.lit("")).alias("host"), col(text).alias("text"))
     measured = materialize(measure_documents(bare).drop("text"), "measures")
     m = {k: F.col(k) for k in MEASURES}
     hosts = materialize(host_verdicts(measured, "host", m), "host-verdicts")
     judged = join_checked(measured, hosts, ["host"], "left")
-    return judged.withColumn("base_failed", base_failed(m)).withColumn("kept", _kept(m, F.col("host_verdict")))
+    return judged.withColumn("base_failed", base_failed(m)).withColumn("kept", _kept(m, F.col("host_verdict"), F.col("strict_rules")))
 
 
-def _kept(m: dict[str, Column], verdict: Column) -> Column:
-    limit = F.when(verdict == "strict", 0.5).otherwise(1.0)
-    return ~base_failed(m) & (verdict != "blocked") & (severity(m) <= limit)
+def _kept(m: dict[str, Column], verdict: Column, strict: Column) -> Column:
+    within = [share <= F.when(F.array_contains(strict, rule), 0.5).otherwise(1.0) for rule, share in shares(m).items()]
+    return reduce(lambda a, b: a & b, within, ~base_failed(m) & (verdict != "blocked"))
 
 
 def filter_documents(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with the columns of docs.
 
-    Texts are measured twice instead of shuffled: once for the hosts, once beside the whole row for its verdict.
+    Texts are measured twice instead of shuffled: once for the hosts, once beside the whole row for its verdict. Nulls,
+    repeated rows and empty tables are as in ``judge``.
     """
     bare = docs.select(F.coalesce(col(host).cast("string"), F.lit("")).alias("host"), col(text).alias("text"))
     hosts = host_verdicts(measure_documents(bare).drop("text"), "host", {k: F.col(k) for k in MEASURES})
-    key, verdict, *names = fresh(docs, "host_key", "verdict", *[f"m_{k}" for k in MEASURES])
-    hosts = materialize(hosts.select(F.col("host").alias(key), F.col("host_verdict").alias(verdict)), "host-verdicts")
+    key, verdict, strict, *names = fresh(docs, "host_key", "verdict", "strict", *[f"m_{k}" for k in MEASURES])
+    hosts = materialize(hosts.select(F.col("host").alias(key), F.col("host_verdict").alias(verdict), F.col("strict_rules").alias(strict)), "host-verdicts")
     measured = measure_documents(docs, tuple(names), text).withColumn(key, F.coalesce(col(host).cast("string"), F.lit("")))
     m = {k: F.col(n) for k, n in zip(MEASURES, names, strict=True)}
-    return join_checked(measured, hosts, [key], "left").where(_kept(m, F.col(verdict))).select(*map(col, docs.columns))
+    return join_checked(measured, hosts, [key], "left").where(_kept(m, F.col(verdict), F.col(strict))).select(*map(col, docs.columns))

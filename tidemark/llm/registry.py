@@ -22,7 +22,7 @@ def _vocabulary(name: str) -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", F.round("host_rate", 9).alias("host_rate"), "host_verdict")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", F.round("host_rate", 9).alias("host_rate"), F.array_join("strict_rules", ",").alias("strict_rules"), "host_verdict")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
