@@ -21,19 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns, arrow_batches, col
+from tidemark.llm.common import append_columns, arrow_batches, col, slices
 
 #: Labelled documents of each class that training takes at most.
 SAMPLE = 1_500
-#: Windows of one document that training takes at most, evenly spaced.
-TRAIN_WINDOWS = 6
 WINDOW, STRIDE = 48, 36
 HIDDEN, EMBED = 8, 4
 GRAMS = (3, 4, 5)
-GRAM_BITS, WORD_BITS, EMBED_BITS = 18, 18, 12
-#: Words whose rows are kept.
-MEMO = 200_000
-EPOCHS, BATCH, RATE = 4, 128, 0.02
+GRAM_BITS, WORD_BITS, EMBED_BITS = 18, 18, 14
+#: Bytes of words and their rows that a scorer keeps.
+MEMO_BYTES = 64 << 20
+EPOCHS, BATCH, RATE, VECTOR_RATE = 2, 128, 0.02, 0.05
 #: Parts of the training documents; what a document meets as ratios comes from the other parts.
 PARTS = 4
 #: Documents' worth of doubt in a ratio.
@@ -42,8 +40,6 @@ DOUBT = 4.0
 SLOPES = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
 #: Windows that weigh at most, those of 5,000 words: more clean text around a toxic passage lowers its score no further.
 MOST_WINDOWS = 139
-#: Clean windows that an epoch takes at most.
-CLEAN_WINDOWS = 5_000
 #: Rows with remainder HELD_OUT of crc32(doc_id) modulo FOLDS are never learned from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -263,6 +259,16 @@ class _Adam:
             p[k] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype("f4")
 
 
+    def rows(self, p: dict[str, np.ndarray], name: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+        """A step on some rows of a table of vectors, each by the gradients that it has had so far."""
+        which, own = np.unique(at, return_inverse=True)
+        total = np.zeros((len(which), g.shape[1]), "f4")
+        np.add.at(total, own, g)
+        seen = self.v.setdefault(name, np.full(len(p[name]), 1e-8, "f4"))
+        seen[which] += (total * total).mean(1)
+        p[name][which] -= rate * total / np.sqrt(seen[which])[:, None]
+
+
 def starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
     """First words of the windows of a text of n words: every stride words, and one that ends at the last word."""
     return [*range(0, n - window, stride), n - window] if n > window else [0] if n else []
@@ -285,22 +291,30 @@ class Model:
         return self.network.rows(self.network.inputs(fixed_inputs(seen, self.ratios), *seen.take(np.arange(len(words)))))
 
 
+def _weight(words: Sequence[str]) -> int:
+    """Bytes that words and their rows take in the memo, at most."""
+    return sum(4 * len(w) for w in words) + (200 + 2 * 3 * HIDDEN * 4) * len(words)
+
+
 class Scorer:
     """Scores texts, with the memo of words."""
 
-    def __init__(self, model: Model, memo: int = MEMO) -> None:
-        self.model, self.size = model, memo
+    def __init__(self, model: Model, memo_bytes: int = MEMO_BYTES) -> None:
+        self.model, self.limit = model, memo_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {"": 0}
+        self.bytes = 0
         self.tables = [np.zeros((1 << 16, 3 * HIDDEN), "f4") for _ in range(2)]
 
     def _learn(self, words: set[str]) -> None:
+        """Rows for all words of a call, beside those of earlier calls while the memo has room."""
         new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > self.size and len(self.at) > 1:
+        if self.bytes + _weight(new) > self.limit and self.bytes:
             self._clear()
             new = list(words)
+        self.bytes += _weight(new)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             n = len(self.at)
@@ -398,14 +412,13 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
         return Model(network, corpus.whole.ratios(), -np.inf if y.any() else np.inf, 0.0, -2.0)
     windows = []
     for i, own in enumerate(corpus.docs):
-        s = starts(len(own))
-        windows += [(i, s[int(k)]) for k in np.unique(np.linspace(0, len(s) - 1, min(len(s), TRAIN_WINDOWS)).astype("i8"))] if s else []
+        windows += [(i, s) for s in starts(len(own))]
     positive, negative = [w for w in windows if y[w[0]]], [w for w in windows if not y[w[0]]]
     best: dict[int, int] = {}
     for epoch in range(EPOCHS):
         # A toxic document teaches by the window that looks most toxic so far, clean ones by all of their windows.
         chosen = [w for w in positive if best.get(w[0], w[1]) == w[1]]
-        chosen += [negative[k] for k in rng.permutation(len(negative))[:CLEAN_WINDOWS]]
+        chosen += negative
         batches = list(_by_part([chosen[k] for k in rng.permutation(len(chosen))], BATCH))
         for k in rng.permutation(len(batches)):
             _descend(network, adam, corpus, batches[k], y, RATE / (1 + epoch))
@@ -426,8 +439,8 @@ def _descend(network: Network, adam: _Adam, corpus: _Corpus, windows: list[tuple
     loss, g, dx = network.gradients(index, mask, y[[i for i, _ in windows]].astype("f4"), x)
     adam.update(network.p, g, rate)
     count = np.maximum(np.bincount(owner, minlength=len(x)), 1)[:, None]
-    np.subtract.at(network.p["word"], at_word, 5 * rate * dx[:, N_FIXED : N_FIXED + EMBED])
-    np.subtract.at(network.p["char"], at_char, (5 * rate * dx[:, N_FIXED + EMBED :] / count)[owner])
+    adam.rows(network.p, "word", at_word, dx[:, N_FIXED : N_FIXED + EMBED], VECTOR_RATE)
+    adam.rows(network.p, "char", at_char, (dx[:, N_FIXED + EMBED :] / count)[owner], VECTOR_RATE)
     return loss
 
 
@@ -470,21 +483,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
 
 
 def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
-    """docs with the score of each whole text. A text without a word (null, empty) gets the prior's score, below 0.5."""
+    """docs with the score of each whole text. A text without a word (null, empty) gets the prior's score, below 0.5. Repeated
+    rows score alike; very long texts are scored over all their windows; an empty table stays empty, other columns stay."""
     arrow_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = [scorer.scores(texts[i : i + 250]) for i in range(0, len(texts), 250)]
+            texts = batch.column(at)
+            found = [scorer.scores(texts.slice(a, b - a).to_pylist()) for a, b in slices(texts)]
             yield batch, [pa.array(np.concatenate(found) if found else np.zeros(0))]
 
     return append_columns(docs, run, [T.StructField(score, T.DoubleType())])
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each document."""
+    """(doc_id, held_out, score, predicted) of each document, repeated rows each on its own.
+
+    A null id is in no fold (held_out is null) and teaches nothing; a null text scores as an empty one. An empty table gives
+    no rows, one without labels scores of the prior; very long texts are scored whole; other columns are not read.
+    """
     scored = score_documents(docs.select("doc_id", "text"), learn(docs, labels))
     return scored.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
