@@ -54,7 +54,8 @@ def dedup_lines(
     """docs with boilerplate lines taken out of ``text``; ``counts`` names the columns for lines seen and removed.
 
     A null text stays null and has 0 lines; an empty text is one blank line; blank lines are never removed. A document
-    that loses every line keeps an empty text. Repeated rows (equal id and text) lose the same lines. Other columns stay.
+    that loses every line keeps an empty text. Repeated rows (equal id and text) lose the same lines. Very long texts lose
+    lines as short ones do; an empty table stays empty. Columns of docs named as ``counts`` are replaced, all others stay.
     """
     lines = _lines(docs, doc_id, text, site)
     hits = join_checked(lines, boilerplate_lines(docs, min_sites, band, lg_k, doc_id, text, site), ["h1", "h2"], "inner")

@@ -64,7 +64,7 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "s
     bucket, first, count, key = fresh(df, "slot_bucket", "first_slot", "bucket_rows", "shard_key")
     shards = df.select(F.count_distinct(col(shard)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(LEAST_BUCKETS, shards["n"] // (SLOT_BUCKET_ROWS * max(1, shards["s"])))
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit("slot"), *[col(c) for c in order[:1]]), F.lit(buckets)))
+    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit("slot"), *map(col, order)), F.lit(buckets)))
     counts = dealt.groupBy(col(shard).alias(key), F.col(bucket)).agg(F.count(F.lit(1)).alias(count))
     below = F.sum(count).over(_window([key], [bucket]).rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select(key, bucket, F.coalesce(below, F.lit(0)).alias(first))
@@ -84,9 +84,11 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, weights: Sequence[float] | None = None) -> DataFrame:
-    """Documents with size, text_crc32, law, shard, slot and grown_shard; other columns are kept as they are.
+    """Documents with size, text_crc32, law, shard, slot and grown_shard; columns of docs with such names are replaced, all
+    others are kept as they are.
 
-    A null text has no bytes: size 8, crc 0. Null ids all share a shard; repeated rows keep one slot each.
+    A null text has no bytes: size 8, crc 0. Very long texts only add to the size. Null ids all share a shard; repeated rows
+    keep one slot each. An empty table gives an empty one.
     """
     weights = weights or [1.0] * n_shards
     text = col("text").cast("binary")
