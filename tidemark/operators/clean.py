@@ -70,6 +70,8 @@ def rejects(cleaned: DataFrame, samples: int = REJECT_SAMPLES) -> DataFrame:
     bad = cleaned.where("reject_rule is not null")
     detail = F.format_string(
         "cnpj=%s date=%s price=%s product=%s uf=%s", *[F.coalesce(c, F.lit("")) for c in ("cnpj_da_revenda", "data_da_coleta", "valor_de_venda", "produto", "estado_sigla")])
+    if "raw_line" in cleaned.columns:  # a malformed line has no fields to tell of
+        detail = F.when(F.col("reject_rule") == "field_count", F.col("raw_line")).otherwise(detail)
     keys = ["source_file_id", "reject_rule", "line_number"]
     lines = bad.select(*[F.col(k).alias(f"first_{k}") for k in keys]).distinct()
     rank = F.row_number().over(Window.partitionBy("first_source_file_id", "first_reject_rule").orderBy("first_line_number"))

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import calendar, week_start
-from tidemark.operators.facts import build_facts, lowest_price
+from tidemark.operators.facts import lowest_price
 from tidemark.operators.history import versions
 from tidemark.plans.model import Model
+from tidemark.plans.warehouse import written_model
+from tidemark.storage import shared_dir, state
 
 #: Event types by product key, from 1.
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -50,7 +52,10 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model(spark: SparkSession, sf_dir: str) -> Model:
-    versions_ = stations(spark, sf_dir)
+    """Stations, facts and rollup are written once for each state of the input tables, and read by every question."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("events", "customer")]
+    folder = f"{shared_dir(spark)}/tidemark/model-{state(spark, *inputs)}"
+    facts, versions_, weekly = written_model(spark, folder, lambda: stations(spark, sf_dir), lambda: lowest_price(observations(spark, sf_dir)))
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     cities = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(
         F.col("n_nationkey").alias("city_key"), F.col("n_name").alias("city_name"), F.col("r_name").alias("uf"), F.substring("r_name", 1, 2).alias("region"))
@@ -59,8 +64,7 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
         F.lit("event").alias("fuel_family"), F.lit("1").alias("unit_of_measure"), (F.col("id") != 2).alias("is_liquid_fuel"), F.lit(True).alias("in_default_scope"))
     names = F.array(F.lit("UNBRANDED"), F.lit("Y"), F.lit("X"))
     brands = spark.range(1, 4).select(F.col("id").cast("int").alias("brand_key"), F.element_at(names, F.col("id").cast("int")).alias("brand_name"), (F.col("id") == UNBRANDED).alias("is_unbranded"), F.lit(False).alias("needs_review"))
-    facts = build_facts(lowest_price(observations(spark, sf_dir)), versions_)
-    return Model(facts, versions_, cities, products, brands, calendar(spark, "2024-01-01", "2024-12-31"))
+    return Model(facts, versions_, cities, products, brands, calendar(spark, "2024-01-01", "2024-12-31"), weekly)
 
 
 def raw_survey(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ FROM (VALUES ('UNBRANDED'), ('X'), ('Y')) b(brand_name) LEFT JOIN st USING (bran
     "placebo_vs_event": _placebo("DISTINCT"),
     "placebo_pairs_kept": _placebo(""),
     "city_semi_join": _with(body="SELECT n_nationkey AS city_key, n_name AS city_name, r_name AS uf, substr(r_name, 1, 2) AS region FROM nation JOIN region ON r_regionkey = n_regionkey WHERE EXISTS (SELECT 1 FROM weekly WHERE weekly.city_key = n_nationkey)"),
-    "unused_brand_anti_join": _with(body="SELECT brand_name FROM (VALUES ('UNBRANDED', 1), ('Y', 2), ('X', 3)) b(brand_name, k) WHERE NOT EXISTS (SELECT 1 FROM st WHERE brand_key = k AND city_key < 3 AND valid_to = DATE '9999-12-31')"),
+    "unused_brand_anti_join": _with(body="SELECT brand_name FROM (VALUES ('UNBRANDED', 1), ('Y', 2), ('X', 3)) b(brand_name, k) WHERE NOT EXISTS (SELECT 1 FROM st WHERE brand_key = k AND valid_to = DATE '9999-12-31')"),
     "clean_normalise": _raw(f"""SELECT line_number, cnpj_raw AS cnpj, d AS collection_date, CAST(p AS DOUBLE) AS sale_price, upper(trim(regexp_replace(name_raw, '\\s+', ' ', 'g'))) AS legal_name,
   regexp_replace(city_raw, ' +', ' ') AS city_name, 'SP' AS uf, 'SE' AS region, 'RUA A' AS street, zip_code, CAST({_NUMBER.format('event_type')} AS SMALLINT) AS product_key FROM good"""),
     "reject_classification": _raw("SELECT line_number, reject_rule FROM judged"),
@@ -247,7 +247,82 @@ FROM ({_DOMINANT.format("< DATE '1998-01-01'")}) a JOIN ({_DOMINANT.format(">= D
 FROM (SELECT *, event_id % 61 = 8 AS blank FROM events) WHERE blank OR event_id % 41 = 7""",
     "overlapping_versions": _with(body="SELECT a.cnpj, a.valid_from FROM st a JOIN st b ON a.cnpj = b.cnpj AND b.valid_from < a.valid_from AND b.valid_to > a.valid_from"),
     "repeated_grain": _with(body="SELECT cnpj, product_key, d AS collection_date, count(*) AS times FROM ev GROUP BY 1, 2, 3 HAVING count(*) > 1"),
-    "dangling_keys": "SELECT l_partkey, count(*) AS rows FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size < 40) GROUP BY 1",
+    "dangling_keys": "SELECT k AS l_partkey, count(*) AS rows FROM (SELECT CASE WHEN l_orderkey % 97 = 3 THEN -l_partkey ELSE l_partkey END AS k FROM lineitem) WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = k) GROUP BY 1",
     "order_value_by_region": f"""SELECT r_name AS region, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority, {r('quantile_cont(o_totalprice, 0.5)', 2)} AS median_value, count(*) AS orders
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3""",
 }
+
+#: Lines of the synthesised file, judged with the malformed ones first; station versions and facts of what is good.
+_FILE = f"""{_RAW},
+lines AS (SELECT * REPLACE (CASE WHEN (line_number - 2) % 67 = 11 THEN 'field_count' ELSE reject_rule END AS reject_rule) FROM judged),
+fine AS (SELECT cnpj_raw AS cnpj, d, p, line_number, brand_name, zip_code, upper(trim(regexp_replace(name_raw, '\\s+', ' ', 'g'))) AS legal_name, regexp_replace(city_raw, ' +', ' ') AS city_name,
+  CAST({_NUMBER.format('event_type')} AS SMALLINT) AS product_key FROM lines WHERE reject_rule IS NULL),
+day AS (SELECT DISTINCT ON (cnpj, d) * FROM fine ORDER BY cnpj, d, line_number),
+step AS (SELECT *, lag(d) OVER w IS NULL OR legal_name IS DISTINCT FROM lag(legal_name) OVER w OR brand_name IS DISTINCT FROM lag(brand_name) OVER w OR city_name IS DISTINCT FROM lag(city_name) OVER w
+  OR zip_code IS DISTINCT FROM lag(zip_code) OVER w AS opens FROM day WINDOW w AS (PARTITION BY cnpj ORDER BY d)),
+span AS (SELECT cnpj, legal_name, brand_name, city_name, zip_code, d AS valid_from, coalesce(lead(d) OVER (PARTITION BY cnpj ORDER BY d), DATE '9999-12-31') AS valid_to FROM step WHERE opens),
+stored AS (
+  SELECT l.*, s.valid_from, s.city_name FROM (SELECT cnpj, product_key, d, min(p) AS p FROM fine GROUP BY ALL) l JOIN span s ON s.cnpj = l.cnpj AND s.valid_from <= l.d AND l.d < s.valid_to)"""
+_LEDGER = """ledger AS (
+  SELECT o_orderkey AS run_id, CAST(o_custkey % 9 + 1 AS INTEGER) AS source_file_id, o_orderpriority AS stage, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'failed' END AS status,
+    CAST(o_orderdate AS TIMESTAMP) AS started_at, CASE WHEN o_orderstatus <> 'O' THEN o_orderkey % 50 * 60 END AS seconds, o_orderkey % 5 * 100 AS rows_in, o_orderkey % 5 * 10 + o_orderkey % 3 AS rows_rejected FROM orders)"""
+_HALVES = "(VALUES (1, '2023-01'), (2, '2023-02'), (3, '2024-01'), (4, '2024-02'), (5, '2025-01'), (6, '2025-02'), (7, '2026-01')) c(source_file_id, half_year)"
+_SPOILT = """s AS (
+  SELECT cnpj, CAST(cnpj AS BIGINT) AS n, CASE WHEN CAST(cnpj AS BIGINT) % 13 = 4 THEN substr(cnpj, 2) ELSE cnpj END AS spoilt_cnpj, valid_from, city_key, CASE WHEN CAST(cnpj AS BIGINT) % 11 = 3 THEN 99 ELSE brand_key END AS brand,
+    CASE WHEN valid_to = DATE '9999-12-31' THEN valid_to WHEN CAST(cnpj AS BIGINT) % 5 = 0 THEN valid_to + 7 WHEN CAST(cnpj AS BIGINT) % 5 = 1 THEN DATE '9999-12-31' ELSE valid_to END AS valid_to,
+    valid_to = DATE '9999-12-31' OR CAST(cnpj AS BIGINT) % 7 = 2 AS is_current FROM st),
+f AS (
+  SELECT user_id AS n, product_key, CASE WHEN user_id % 17 = 5 THEN 0 ELSE p END AS p, CASE WHEN user_id % 23 = 7 THEN DATE '2024-01-09' ELSE d END AS d
+  FROM (SELECT CAST(cnpj AS BIGINT) AS user_id, product_key, p, d FROM fact))"""
+
+
+def _count(rule: str, source: str) -> str:
+    return f"SELECT '{rule}' AS rule, (SELECT count(*) FROM {source}) AS rows"
+
+
+SQL |= {
+    "file_ingest": f"WITH {_FILE}\nSELECT line_number, reject_rule, CASE WHEN reject_rule IS NULL THEN cnpj_raw END AS cnpj, CASE WHEN reject_rule IS NULL THEN CAST(p AS DOUBLE) END AS sale_price FROM lines",
+    "file_header": "SELECT CAST(row_number() OVER () AS INTEGER) AS place, name FROM (SELECT unnest(string_split('regiao_sigla estado_sigla municipio revenda cnpj_da_revenda nome_da_rua numero_rua complemento bairro cep produto data_da_coleta valor_de_venda valor_de_compra unidade_de_medida bandeira', ' ')) AS name)",
+    "warehouse_stations": f"""WITH {_FILE}
+SELECT cnpj, legal_name, brand_name, zip_code, valid_from, valid_to, valid_to = DATE '9999-12-31' AS is_current, CAST(1 AS INTEGER) AS first_seen_file, CAST(1 AS INTEGER) AS last_seen_file, true AS hash_holds FROM span""",
+    "warehouse_facts": f"WITH {_FILE}\nSELECT cnpj, product_key, d AS collection_date, CAST(p AS DOUBLE) AS sale_price, year(d) || 'q' || quarter(d) AS quarter, valid_from FROM stored",
+    "warehouse_rollup": f"""WITH {_FILE}
+SELECT {key('d')} AS survey_week_key, city_name, product_key, count(*) AS observations, {_ROUND[0.5]} AS median_price FROM stored GROUP BY 1, 2, 3""",
+    "warehouse_catalog": f"""WITH {_FILE},
+n AS (SELECT count(*) AS rows_in, count(*) FILTER (WHERE reject_rule IS NOT NULL) AS rejected FROM lines),
+runs AS (
+  SELECT 1 AS source_file_id, 'read' AS stage, rows_in, CAST(NULL AS BIGINT) AS rows_rejected FROM n UNION ALL SELECT 1, 'validate', rows_in, rejected FROM n
+  UNION ALL SELECT 1, 'stations', NULL, NULL UNION ALL SELECT 1, 'facts', rows_in - rejected, NULL FROM n)
+SELECT half_year, CASE WHEN stage IS NULL THEN 'pending' ELSE 'loaded' END AS status, stage, CASE WHEN stage IS NOT NULL THEN 'done' END AS run_status, rows_in, rows_rejected, CAST(CASE WHEN stage IS NOT NULL THEN 64 END AS INTEGER) AS sha256_chars
+FROM {_HALVES} LEFT JOIN runs USING (source_file_id)""",
+    "load_health": f"""WITH {_LEDGER}
+SELECT run_id, half_year, stage, status, strftime(started_at AT TIME ZONE 'UTC' AT TIME ZONE 'America/Sao_Paulo', '%Y-%m-%d %H:%M:%S') AS started_local, seconds, rows_in, rows_rejected, {r('100.0 * rows_rejected / nullif(rows_in, 0)', 2)} AS pct_rejected
+FROM ledger LEFT JOIN {_HALVES} USING (source_file_id)""",
+    "stuck_runs": f"""WITH {_LEDGER}
+SELECT run_id, source_file_id, stage, date_diff('second', started_at, TIMESTAMP '1998-08-02 12:00:00') // 60 AS minutes FROM ledger WHERE status = 'running' AND date_diff('second', started_at, TIMESTAMP '1998-08-02 12:00:00') > 1800""",
+    "station_lookup": _with(body="SELECT cnpj, brand_key, valid_from, valid_to FROM st WHERE cnpj = '00000000000007' AND valid_from <= DATE '2024-01-16' AND valid_to > DATE '2024-01-16'"),
+    "brand_merge": _with(body="""SELECT CASE WHEN b = 1 THEN 'UNBRANDED' ELSE 'X' END AS brand_name, CAST(CASE WHEN b = 1 THEN 1 ELSE 2 END AS BIGINT) AS aliases, CAST(CASE WHEN b = 1 THEN 0 ELSE 1 END AS BIGINT) AS renames,
+  (SELECT count(*) FROM st WHERE (brand_key = 1) = (b = 1)) AS versions FROM (VALUES (1), (3)) v(b)"""),
+    "brand_review": "SELECT * FROM (VALUES ('UNBRANDED', true, false), ('Y', false, false), ('X', false, true)) b(brand_name, needs_review, is_reviewed)",
+    "version_least": """WITH d AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, min(o_orderstatus) AS s, min(o_orderpriority) AS p FROM orders GROUP BY 1, 2),
+m AS (SELECT *, s IS DISTINCT FROM lag(s) OVER (PARTITION BY o_custkey ORDER BY day) AS opens FROM d),
+i AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY o_custkey ORDER BY day) AS island FROM m)
+SELECT o_custkey, state, priority, valid_from, coalesce(lead(valid_from) OVER (PARTITION BY o_custkey ORDER BY valid_from), DATE '9999-12-31') AS valid_to
+FROM (SELECT o_custkey, island, min(s) AS state, min(p) AS priority, min(day) AS valid_from FROM i GROUP BY 1, 2)""",
+    "fact_append": _with(body="SELECT product_key, year(d) || 'q' || quarter(d) AS quarter, count(*) AS added FROM low WHERE d >= DATE '2024-01-21' GROUP BY 1, 2"),
+    "partition_anomalies": _with(body="""SELECT CASE WHEN product_key = 2 THEN 'default' ELSE year(d) || 'q' || quarter(d) END AS quarter, count(*) AS rows, min(x) AS first_day, max(x) AS last_day, CAST(1 AS BIGINT) AS files, product_key = 2 AS is_anomalous
+FROM (SELECT *, CASE WHEN product_key = 2 THEN CAST(d + INTERVAL 4 YEAR AS DATE) ELSE d END AS x FROM fact) GROUP BY 1, product_key = 2"""),
+    "unused_part_anti_join": "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)",
+    "broken_rules": _with(_SPOILT, body="\nUNION ALL\n".join((
+        _count("one fact a grain", "(SELECT 1 FROM f GROUP BY n, product_key, d HAVING count(*) > 1)"),
+        _count("facts have versions", "(SELECT 1 FROM f WHERE n % 19 = 6)"),
+        _count("facts are plausible", "(SELECT 1 FROM f WHERE p <= 0)"),
+        _count("versions don''t overlap", "(SELECT 1 FROM s WHERE EXISTS (SELECT 1 FROM s x WHERE x.n = s.n AND x.valid_from < s.valid_from AND x.valid_to > s.valid_from))"),
+        _count("versions are dated well", "(SELECT 1 FROM s WHERE valid_from >= valid_to OR is_current <> (valid_to = DATE '9999-12-31'))"),
+        _count("one current version", "(SELECT 1 FROM s WHERE is_current GROUP BY n HAVING count(*) > 1)"),
+        _count("one key a version", "(SELECT 1 FROM s GROUP BY n, valid_from HAVING count(*) > 1)"),
+        _count("14 digits", "(SELECT 1 FROM s WHERE length(spoilt_cnpj) <> 14)"),
+        _count("versions have brands", "(SELECT 1 FROM s WHERE brand = 99)"),
+        _count("versions have cities", "(SELECT 1 FROM s WHERE city_key = 3)"),
+        "SELECT 'aliases have brands' AS rule, CAST(1 AS BIGINT) AS rows", "SELECT 'one key a brand' AS rule, CAST(0 AS BIGINT) AS rows", "SELECT 'one key a city' AS rule, CAST(0 AS BIGINT) AS rows"))),
+}

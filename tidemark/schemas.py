@@ -22,13 +22,20 @@ SURVEY_COLUMNS = (
 
 STATION_ATTRIBUTES = ("legal_name", "brand_key", "city_key", "street", "street_number", "district", "zip_code")
 
-RAW = ", ".join(["source_file_id int", "line_number int", *(f"{c} string" for c in SURVEY_COLUMNS)])
 REJECT = "source_file_id int, line_number int, rule_name string, detail string, raw_row string, rejected_at timestamp"
 STATION = (
     "station_key long, cnpj string, legal_name string, brand_key int, city_key int, street string, street_number string, district string,"
     "zip_code string, complement string, valid_from date, valid_to date, is_current boolean, first_seen_file int, last_seen_file int, attribute_hash string"
 )
-FACT = "collection_date date, cnpj string, station_key long, product_key smallint, sale_price decimal(8,3), source_file_id int"
+FACT = "collection_date date, cnpj string, station_key long, product_key smallint, sale_price decimal(8,3), source_file_id int, quarter string"
+SNAPSHOT = (
+    "cnpj string, collection_date date, legal_name string, brand_key int, city_key int, street string, street_number string, district string, "
+    "zip_code string, complement string, source_file_id int"
+)
+WEEKLY = (
+    "survey_week_key int, week_start_date date, iso_year int, month_start_date date, city_key int, product_key smallint, observations long, stations long, "
+    "p10_price decimal(8,3), median_price decimal(8,3), p90_price decimal(8,3), min_price decimal(8,3), max_price decimal(8,3), avg_price decimal(8,3)"
+)
 CITY = "city_key int, city_name string, uf string, region string, ibge_code string"
 BRAND = "brand_key int, brand_name string, is_unbranded boolean, needs_review boolean, reviewed_at timestamp"
 ALIAS = "alias_text string, brand_key int, is_rename boolean, note string"
