@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,28 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.storage import delete, shared_dir
+
 #: Rows and bytes of the small side up to which a join broadcasts it; beyond, the join shuffles both sides.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 #: Bytes of one Arrow batch at most (one row at least), and of the texts that a map works on at once.
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 
-_scratch: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temp folder in local mode if it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _scratch:
-        _scratch[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(_scratch[sc.applicationId])
-    return _scratch[sc.applicationId]
-
-
 #: Scratch folders that this process has named, oldest first.
 _named: list[str] = []
 
@@ -61,13 +45,11 @@ def discard_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None
     """Delete the scratch folders named after ``since`` but those that ``keep`` reads; the number deleted.
 
     Results that are still lazy read such folders, so write them first."""
-    needed = {f.removeprefix("file:").lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
-    conf, gone = spark._jsparkSession.sessionState().newHadoopConf(), []
+    needed, gone = keep.inputFiles() if keep is not None else [], []
     for path in _named[since:]:
-        plain = path.removeprefix("file:").lstrip("/") + "/"
-        if not any(f.startswith(plain) for f in needed):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        folder = path.rpartition("/")[2]  # no two folders share a name, however their file system spells the path
+        if not any(f"/{folder}/" in f for f in needed):
+            delete(spark, path)
             gone.append(path)
     _named[since:] = [p for p in _named[since:] if p not in gone]
     return len(gone)
