@@ -16,7 +16,11 @@ def connection():
 EMPTY = {"overlapping_versions", "unused_brand_anti_join"}
 
 
-@pytest.mark.parametrize("name", registry.queries())
+def test_only_checksums_lack_sql():
+    assert registry.queries().keys() - registry.oracle_sql().keys() == {"file_checksum"}  # in test_warehouse.py
+
+
+@pytest.mark.parametrize("name", registry.oracle_sql())
 def test_query(spark, connection, name):
     sql = registry.oracle_sql()[name]
     assert not differences(registry.queries()[name](spark, f"{DATA}/sf0.01"), sql, connection)
