@@ -213,9 +213,45 @@ def test_edited_fingerprints(docs, rows, nothing):
         r = next(r for r in got[doc] if r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint == syncmers.encode(syncmers.sketch(syncmers.anchors(a)[1])) and r.edited_fingerprint == syncmers.encode(syncmers.sketch(syncmers.anchors(edited)[1]))
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert (r.passage_start, r.passage_next_start, r.passage_chars) == syncmers.passage(a, syncmers.anchors(a), b, syncmers.anchors(b))
     assert syncmers.compare_edited(nothing).count() == 0
 
 
+def longest_common(a: str, b: str) -> int:
+    """Code points of the longest common substring, cell by cell."""
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0] + [before[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best, before = max(best, *now), now
+    return best
+
+
+@pytest.mark.parametrize(("size", "shared"), [(400, 42), (400, 43), (700, 120), (300, 280), (120, 13), (90, 60), (6, 3), (0, 0)])
+def test_passages_by_position(size, shared):
+    rng = random.Random(size + shared)
+    letters = "abcdefghijklé日 "
+    of = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(8):
+        common = of(shared)
+        a, b = (of(rng.randrange(size - shared + 1)) + common + of(rng.randrange(size - shared + 1)) for _ in range(2))
+        start, other, n = syncmers.passage(a, syncmers.anchors(a), b, syncmers.anchors(b))
+        assert (a[start : start + n] == b[other : other + n]) if n else start is None or a == b
+        if shared >= (2 * syncmers.K - syncmers.S if max(len(a), len(b)) >= syncmers.SHORT else 2 * syncmers.FINE_K - syncmers.FINE_S):
+            assert n == longest_common(a, b) >= shared
+
+
+def test_passages_of_repeated_and_equal_texts():
+    find = lambda a, b: syncmers.passage(a, syncmers.anchors(a), b, syncmers.anchors(b))
+    assert find("x" * 5_000, "x" * 3_000) == (0, 0, 3_000)  # one anchor, thousands of times
+    assert find("same", "same") == (0, 0, 4) and find("", "") == (0, 0, 0)
+    assert find("some", "other") == find("", "other") == find("q" * 300, "z" * 300) == (None, None, 0)
+    rng = random.Random(8)
+    long, part = prose(rng, 20_000), prose(rng, 60)
+    a, b = long[:70_000] + part + long[70_000:], prose(rng, 40) + part
+    start, other, n = find(a, b)
+    assert n >= len(part) and a[start : start + n] == b[other : other + n]  # 60 words in a text of 20,000
+
+
 def test_sharding_law(docs, rows, nothing):
     got = sharding.shard_documents(docs).collect()
     slots = defaultdict(list)

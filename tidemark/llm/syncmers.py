@@ -5,6 +5,10 @@ place. Whether it is one depends on its own characters alone, so an edit changes
 texts choose the same anchors in every passage that they share. A fingerprint is the sketch of a text's anchors: its
 SKETCH smallest distinct anchor hashes of each scale, all of them if there are fewer. A hash tells its scale, and two texts
 are compared over the scales that both have.
+
+Passages are matched by position: anchors that two texts share and that lie equally far apart in both are one passage. Two
+anchors that follow each other overlap, so such a run is equal code point by code point, and it is extended to both sides as
+far as the texts agree.
 """
 
 from __future__ import annotations
@@ -154,6 +158,56 @@ def spliced(a: str, a_anchors: tuple, b: str, b_anchors: tuple, keep: int, take:
     return np.concatenate([head, over, tail])
 
 
+def _numbered(found: tuple[np.ndarray, np.ndarray], fine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions of a text's anchors of one scale: a hash that stands there several times gets a key each time."""
+    where, what = found
+    own = ((what & FINE) != 0) == fine
+    where, what = where[own], what[own]
+    order = np.argsort(what, kind="stable")
+    what = what[order]
+    nth = (np.arange(len(what)) - np.searchsorted(what, what)).astype("u8")
+    return _mix(what + nth * _BASE), where[order]
+
+
+def _agree(a: str, b: str) -> int:
+    """How many code points are equal from the first on."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def passage(a: str, a_anchors: tuple, b: str, b_anchors: tuple) -> tuple[int | None, int | None, int]:
+    """(start in a, start in b, code points) of the passage with the longest run of anchors that both texts share at one
+    distance, extended as far as they agree; (None, None, 0) if they share no anchor.
+
+    Every passage of 2 K - S code points has an anchor, of 2 FINE_K - FINE_S if both texts are SHORT. An anchor that is
+    repeated within the texts pairs in order, the first with the first, so pairs never outnumber anchors. Of equally long
+    runs that with the least start in a less start in b counts.
+    """
+    if a == b:
+        return 0, 0, len(a)
+    fine = max(len(a), len(b)) < SHORT
+    k = FINE_K if fine else K
+    (x, at_a), (y, at_b) = _numbered(a_anchors, fine), _numbered(b_anchors, fine)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(i):
+        return None, None, 0
+    at, shift = at_a[i], at_a[i] - at_b[j]
+    order = np.lexsort((at, shift))
+    at, shift = at[order], shift[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(shift) != 0) | (np.diff(at) > k)]))
+    last = np.append(first[1:], len(at)) - 1
+    best = first[np.argmax(at[last] - at[first])]
+    start, other = int(at[best]), int(at[best] - shift[best])
+    back = _agree(a[:start][::-1], b[:other][::-1])
+    return start - back, other - back, back + _agree(a[start:], b[other:])
+
+
 def anchor_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, positions, hashes, fingerprint) of each whole text. Nulls are empty texts: no anchors."""
     arrow_batches(docs.sparkSession)
@@ -195,7 +249,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last third is the beginning of the next document, and how
-    alike they are.
+    alike they are; and the longest passage of the text that the next document has, too: its code points (0 if they share no
+    anchor) and where it starts in either.
 
     Nulls are empty texts; null ids come last. A single document is its own next one; repeated rows follow each other. Very
     long texts are anchored whole, CHUNK code points at a time. An empty table gives no rows; other columns are not read.
@@ -210,10 +265,11 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         keep, take = len(a) - len(a) // 3, min(len(a) // 3, len(b))
         digest = hashlib.sha256((a[:keep] + b[:take]).encode()).hexdigest()
         edited = sketch(spliced(a, a_anchors, b, b_anchors, keep, take))
-        return doc, len(a), digest, encode(a_sketch), encode(edited), likeness(a_sketch, edited), likeness(a_sketch, b_sketch)
+        start, next_start, length = passage(a, a_anchors, b, b_anchors)
+        return doc, len(a), digest, encode(a_sketch), encode(edited), likeness(a_sketch, edited), likeness(a_sketch, b_sketch), length, start, next_start
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        kinds = (None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         part, before, lent = None, None, False
         for batch in batches:
             out = []
@@ -229,6 +285,6 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k or batch.schema.field(3).type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "passage_chars", "passage_start", "passage_next_start"])
 
-    return ordered.mapInArrow(rows, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(rows, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, passage_chars long, passage_start long, passage_next_start long")
