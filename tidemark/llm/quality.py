@@ -162,3 +162,50 @@ def filter_documents(docs: DataFrame, host: str = "source", text: str = "text")
     measured = measure_documents(docs, tuple(names), text).withColumn(key, F.coalesce(col(host).cast("string"), F.lit("")))
     m = {k: F.col(n) for k, n in zip(MEASURES, names, strict=True)}
     return join_checked(measured, hosts, [key], "left").where(_kept(m, F.col(verdict), F.col(strict))).select(*map(col, docs.columns))
+
+
+#: The same rows in another form: words and lines as rows, rules as rows of one table. DuckDB.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+word AS (SELECT r, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+triple AS (SELECT *, lead(a) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM word),
+again AS (SELECT r, unnest([i, i + 1, i + 2]) AS i FROM triple WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+repeats AS (SELECT r, count(DISTINCT i) AS n FROM again GROUP BY r),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n - 1) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS BIGINT) AS n_dup
+  FROM (SELECT r, line, count(*) AS n FROM line GROUP BY r, line) GROUP BY r),
+m AS (
+  SELECT d.r, d.doc_id, d.host, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, n_lines
+  FROM d JOIN w USING (r) JOIN lines USING (r) LEFT JOIN repeats USING (r)),
+near AS (
+  SELECT *, n_words < {MIN_WORDS} AS short, n_repeat_words > {MAX_REPEAT_SHARE} * n_words AS repeated,
+         n_symbols / greatest(n_words, 1) / {MAX_SYMBOLS} AS symbols, n_dup_lines / greatest(n_lines, 1) / {MAX_DUP_LINES} AS dup_lines,
+         word_chars / greatest(n_words, 1) > {MAX_MEAN_WORD} AS long_words
+  FROM m),
+verdict AS (
+  SELECT host, unnest(['short', 'repeated', 'symbols', 'dup_lines', 'long_words', 'any']) AS rule,
+         unnest([short, repeated, symbols > 1, dup_lines > 1, long_words, short OR repeated OR symbols > 1 OR dup_lines > 1 OR long_words]) AS failed
+  FROM near),
+host AS (SELECT host, rule, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM verdict GROUP BY host, rule),
+mean AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS docs, count(*) AS hosts FROM host GROUP BY rule),
+fit AS (
+  SELECT rule, any_value(mean) AS mean, sum(n * (f / n - mean) ** 2) / any_value(docs) AS spread,
+         any_value(mean * (1 - mean)) AS noise_doc, any_value(mean * (1 - mean) * hosts / docs) AS noise
+  FROM host JOIN mean USING (rule) GROUP BY rule),
+prior AS (
+  SELECT rule, mean, CASE WHEN noise_doc > 0 AND spread > noise THEN least({STRONGEST}, greatest({WEAKEST}, noise_doc / (spread - noise) - 1)) ELSE {STRONGEST} END AS strength FROM fit),
+shrunk AS (SELECT host, rule, n, strength, (f + mean * strength) / (n + strength) AS rate FROM host JOIN prior USING (rule)),
+judged AS (
+  SELECT s.host, s.rate AS host_rate, concat_ws(',', {", ".join(f"CASE WHEN bool_or(t.rule = '{r}' AND t.rate > {STRICT_RATE}) THEN '{r}' END" for r in LIMITED)}) AS strict_rules,
+         s.rate - 2 * sqrt(s.rate * (1 - s.rate) / (s.n + s.strength + 1)) > {BLOCK_RATE} AS blocked
+  FROM shrunk s JOIN shrunk t ON t.host = s.host WHERE s.rule = 'any' GROUP BY s.host, s.rate, s.n, s.strength)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeated AS base_failed,
+       NOT (short OR repeated OR blocked OR long_words)
+       AND symbols <= CASE WHEN contains(strict_rules, 'symbols') THEN 0.5 ELSE 1 END
+       AND dup_lines <= CASE WHEN contains(strict_rules, 'dup_lines') THEN 0.5 ELSE 1 END AS kept,
+       host, round(host_rate, 9) AS host_rate, strict_rules, CASE WHEN blocked THEN 'blocked' WHEN strict_rules <> '' THEN 'strict' ELSE 'open' END AS host_verdict
+FROM near JOIN judged USING (host)
+"""

@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op4_warc": warc.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE}
