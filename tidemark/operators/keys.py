@@ -26,22 +26,31 @@ def brand_name(raw):
     return F.when(name == "", F.lit(NO_BRAND)).otherwise(name)
 
 
+def brand_keys(rows: DataFrame, aliases: DataFrame, raw: str = "brand_raw") -> DataFrame:
+    """rows with the brand_key that the aliases give their raw brand; rows whose brand has no alias are left out."""
+    return rows.withColumn("alias_text", brand_name(F.col(raw))).join(aliases.select("alias_text", "brand_key"), "alias_text").drop("alias_text")
+
+
+def city_keys(rows: DataFrame, cities: DataFrame) -> DataFrame:
+    """rows with the city_key of their city and state; rows of unknown cities are left out."""
+    return rows.join(cities.select("city_name", "uf", "city_key"), ["city_name", "uf"])
+
+
 def resolve_brands(rows: DataFrame, brands: DataFrame, aliases: DataFrame, raw: str = "brand_raw") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with brand_key, brands, aliases): unknown names become brands that need a review, and their own aliases."""
-    named = rows.withColumn("alias_text", brand_name(F.col(raw)))
-    unknown = named.select("alias_text").distinct().join(aliases.select("alias_text"), "alias_text", "left_anti")
+    unknown = rows.select(brand_name(F.col(raw)).alias("alias_text")).distinct().join(aliases.select("alias_text"), "alias_text", "left_anti")
     fresh = unknown.select(F.col("alias_text").alias("brand_name"), F.lit(False).alias("is_unbranded"), (F.col("alias_text") != NO_BRAND).alias("needs_review"))
     brands = extend(brands, fresh, ["brand_name"], "brand_key")
     own = unknown.join(brands.select(F.col("brand_name").alias("alias_text"), "brand_key"), "alias_text")
     aliases = aliases.unionByName(own.select("alias_text", "brand_key", F.lit(False).alias("is_rename"), F.lit("new").alias("note")))
-    return named.join(aliases.select("alias_text", "brand_key"), "alias_text").drop("alias_text"), brands, aliases
+    return brand_keys(rows, aliases, raw), brands, aliases
 
 
 def resolve_cities(rows: DataFrame, cities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with city_key, cities). A city is its name and state; of several regions the least is kept."""
     found = rows.groupBy("city_name", "uf").agg(F.min("region").alias("region"))
     cities = extend(cities, found, ["city_name", "uf"], "city_key")
-    return rows.join(cities.select("city_name", "uf", "city_key"), ["city_name", "uf"]), cities
+    return city_keys(rows, cities), cities
 
 
 def merge_brand(brands: DataFrame, aliases: DataFrame, stations: DataFrame, duplicate: str, canonical: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,6 +1,6 @@
 """The survey's warehouse: files in, tables out, each step in a ledger of runs.
 
-A load reads a file of the catalog, keeps its rejects, adds its snapshots of stations, rebuilds station versions from all
+A load reads a file of the catalog, keeps its rejects, writes the accepted rows once for the steps that follow, adds its snapshots of stations, rebuilds station versions from all
 snapshots, and adds the prices that are not there yet. Steps write tables of their own, so a load that fails can be run
 again; a file that is loaded twice changes nothing. Files may come in any order: when an earlier one comes late, facts are
 pointed to the rebuilt versions anew.
@@ -16,11 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import calendar
+from tidemark.functions.dates import calendar, quarter
 from tidemark.operators.clean import accepted, clean, rejects
 from tidemark.operators.facts import build_facts, build_stations, lowest_price, station_snapshots
 from tidemark.operators.history import one_per
-from tidemark.operators.keys import resolve_brands, resolve_cities
+from tidemark.operators.keys import brand_keys, city_keys, resolve_brands, resolve_cities
 from tidemark.operators.rollup import weekly_rollup
 from tidemark.plans.model import Model
 from tidemark.schemas import ALIAS, BRAND, CATALOG, CITY, FACT, REJECT, RUN, SNAPSHOT, STATION, WEEKLY
@@ -67,7 +67,7 @@ class Warehouse:
     @contextmanager
     def step(self, stage: str, source_file_id: int | None = None):
         """A run in the ledger: running, then done with its row counts, or failed with its message."""
-        top, now = self.tables.read("runs", RUN).agg(F.max("run_id").alias("m")).first()["m"], self.spark.sql("SELECT current_timestamp() AS t").first()["t"]
+        top, now = self.tables.read("runs", RUN).agg(F.max("run_id"), F.current_timestamp()).first()
         run = {"run_id": (top or 0) + 1, "source_file_id": source_file_id, "stage": stage, "status": RUNNING, "started_at": now}
         self._note(run)
         counts, end = Step(), {"status": DONE}
@@ -86,6 +86,11 @@ class Warehouse:
 
     # Loading
 
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        """df as written to a staging table."""
+        self.tables.replace(name, df)
+        return self.spark.read.schema(df.schema).parquet(self.tables.path(name))
+
     def load(self, source_file_id: int, path: str) -> None:
         """Load one file of the catalog."""
         entry = self.catalog().where(F.col("source_file_id") == source_file_id).first()
@@ -103,24 +108,22 @@ class Warehouse:
             found = [r["sha256"] for r in checksums(spark, path).orderBy("path").select("sha256").collect()]  # a row a file
             digest = found[0] if len(found) == 1 else hashlib.sha256("".join(found).encode()).hexdigest()
             raw = read_survey(spark, path, file, entry["encoding"], entry["delimiter"], entry["expected_columns"])
-            tables.replace("staging", raw)
-            raw = spark.read.schema(raw.schema).parquet(tables.path("staging"))
-            step.rows_in = step.rows_out = raw.count()
+            raw = self._stage("staging", raw)
+            step.rows_in = step.rows_out = n_raw = raw.count()
         with self.step("validate", file) as step:
             cleaned = clean(raw, self.products)
             tables.put_partitions("rejects", rejects(cleaned), "source_file_id")
-            good = accepted(cleaned)
-            step.rows_in, step.rows_out = raw.count(), good.count()
-            step.rows_rejected = step.rows_in - step.rows_out
+            good = self._stage("accepted", accepted(cleaned))  # cleaned once: all further steps read it
+            n_good = good.count()
+            step.rows_in, step.rows_out, step.rows_rejected = n_raw, n_good, n_raw - n_good
         with self.step("stations", file) as step:
-            rows, brands, aliases = resolve_brands(good, tables.read("brands", BRAND), tables.read("aliases", ALIAS))
+            _, brands, aliases = resolve_brands(good, tables.read("brands", BRAND), tables.read("aliases", ALIAS))
             tables.replace("brands", brands.coalesce(1))
             tables.replace("aliases", aliases.coalesce(1))
-            # Keys are read back: they are then the same for every table, however often a lost task is run again.
-            rows, _, _ = resolve_brands(good, tables.read("brands", BRAND), tables.read("aliases", ALIAS))
-            _, cities = resolve_cities(rows, tables.read("cities", CITY))
+            _, cities = resolve_cities(good, tables.read("cities", CITY))
             tables.replace("cities", cities.coalesce(1))
-            rows, _ = resolve_cities(rows, tables.read("cities", CITY))
+            # Keys are read back: they are then the same for every table, however often a lost task is run again.
+            rows = city_keys(brand_keys(good, tables.read("aliases", ALIAS)), tables.read("cities", CITY))
             tables.put_partitions("snapshots", station_snapshots(rows).select(*[c.split()[0] for c in SNAPSHOT.split(", ")]), "source_file_id")
             every = one_per(tables.read("snapshots", SNAPSHOT), ["cnpj", "collection_date"], ["source_file_id"])
             tables.replace("stations", build_stations(every))
@@ -129,12 +132,11 @@ class Warehouse:
             late = self.catalog().where((F.col("status") == LOADED) & (F.col("source_file_id") > file)).limit(1).count() > 0
             if late:
                 self.restate_facts()
-            step.rows_in = good.count()
+            step.rows_in = n_good
             step.rows_out = self.add_facts(lowest_price(good))
         self._mark(file, LOADED, digest)
-        staged = tables.path("staging")
-        if staged:  # rows are in the tables now
-            tables.replace("staging", raw.limit(0))
+        for name, staged in (("staging", raw), ("accepted", good)):  # rows are in the tables now
+            tables.replace(name, staged.limit(0))
 
     def facts(self) -> DataFrame:
         return self.tables.read("facts", FACT)
@@ -145,7 +147,7 @@ class Warehouse:
     def add_facts(self, prices: DataFrame) -> int:
         """Add prices whose station, product and day no fact has; the number added. Only their quarters are read."""
         new = build_facts(prices, self.stations())
-        quarters = [r["quarter"] for r in new.select("quarter").distinct().collect()]  # 17 labels at most
+        quarters = [r["quarter"] for r in prices.select(quarter(F.col("collection_date")).alias("quarter")).distinct().collect()]  # 17 labels at most
         known = self.facts().where(F.col("quarter").isin(quarters)).select("collection_date", "cnpj", "product_key")
         before = known.count()
         self.tables.append("facts", _by_quarter(new.join(known, ["collection_date", "cnpj", "product_key"], "left_anti")), "quarter")
@@ -175,8 +177,8 @@ class Warehouse:
         for name in ("facts", "stations", "weekly", "rejects", "snapshots"):
             if path := self.tables.path(name):
                 files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-                quarter = F.nullif(F.regexp_extract("path", "/quarter=([^/]+)/", 1), F.lit(""))
-                own = files.select(F.lit(name).alias("table"), quarter.alias("quarter"), "length").groupBy("table", "quarter").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+                label = F.nullif(F.regexp_extract("path", "/quarter=([^/]+)/", 1), F.lit(""))
+                own = files.select(F.lit(name).alias("table"), label.alias("quarter"), "length").groupBy("table", "quarter").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
                 rows = own if rows is None else rows.unionByName(own)
         return rows
 
