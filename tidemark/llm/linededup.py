@@ -8,7 +8,7 @@ position) stays; all others go.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import col, fresh, join_checked, materialize
@@ -47,6 +47,13 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float =
     return materialize(sure.unionByName(wide.join(exact, ["h1", "h2"], "left_semi")).drop("sites"), "boilerplate")
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """A text without the lines at some positions. The split text is bound as the argument of a lambda: an expression that
+    stands inside a lambda is worked out anew for each element, which would split the whole text once a line."""
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n")), 0)
+
+
 def dedup_lines(
     docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, doc_id: str = "doc_id", text: str = "text", site: str = "source",
     counts: tuple[str, str] | None = ("n_lines", "n_lines_removed"), band: float = BAND, lg_k: int = LG_K,
@@ -67,12 +74,10 @@ def dedup_lines(
     keyed = docs.withColumn(key, F.xxhash64(col(text)))
     # The cuts grow with the documents, so they are never broadcast: the plan is the same at every size.
     joined = keyed.join(cuts.hint("merge"), col(doc_id).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(f"{key}_of")), "left")
-    parts = F.split(col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
-    left = F.when(F.col(gone).isNull(), col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    left = F.when(F.col(gone).isNull(), col(text)).otherwise(_without(col(text), F.col(gone)))
     new = {text: left}
     if counts:
-        new[counts[0]] = F.when(col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+        new[counts[0]] = F.when(col(text).isNull(), F.lit(0)).otherwise(F.size(F.split(col(text), "\n"))).cast("long")
         new[counts[1]] = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
     return joined.withColumns(new).drop(key, f"{key}_of", gone, doc)
 
