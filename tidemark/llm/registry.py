@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, linededup, neardup, packing, quality, resampling, sharding, syncmers, tokenfile, toxicity, warc
+from tidemark.llm import bpe, collocations, linededup, neardup, packing, quality, resampling, sharding, syncmers, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_lines_removed")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return scored.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -80,9 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_token_files": op9_token_files,
         "op10_line_dedup": op10_line_dedup,
+        "op11_collocations": op11_collocations,
         "op13_resampling": op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE, "op4_warc": warc.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op13_resampling": resampling.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op4_warc": warc.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op11_collocations": collocations.ORACLE, "op13_resampling": resampling.ORACLE}
