@@ -25,6 +25,12 @@ def put(uri: str, data) -> None:
         out.write(data)
 
 
+def move(uri: str, to: str) -> None:
+    """Give a whole file its name."""
+    system, path = at(uri)
+    system.move(path, at(to)[1])
+
+
 def array(uri: str, dtype: str) -> np.ndarray:
     """A flat file as an array: memory-mapped on a local file system, else read."""
     system, path = at(uri)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, collocations, linededup, neardup, packing, quality, resampling, sharding, syncmers, tokenfile, toxicity, warc
+from tidemark.llm import bpe, collocations, linededup, neardup, packing, quality, repeats, resampling, sharding, syncmers, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf_dir, "documents"), written=True)
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return scored.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_line_dedup": op10_line_dedup,
         "op11_collocations": op11_collocations,
+        "op12_repeats": op12_repeats,
         "op13_resampling": op13_resampling,
     }
 
