@@ -1,5 +1,6 @@
 """Files, warehouse and boundaries of the survey model, on small fixtures."""
 
+import csv
 import datetime as dt
 import hashlib
 import itertools
@@ -14,12 +15,15 @@ from tidemark.operators import checks
 from tidemark.operators.event_study import before_after, event_observations
 from tidemark.operators.facts import build_stations, lowest_price, station_snapshots
 from tidemark.operators.history import one_per
-from tidemark.plans import analog, loading, ops, questions, views
+from tidemark.operators.keys import closure
+from tidemark.plans import analog, loading, ops, questions, views, warehouse
 from tidemark.plans.model import Model
 from tidemark.plans.warehouse import Warehouse, load_order
 from tidemark.schemas import BRAND, RUN
-from tidemark.sources import seeds
-from tidemark.sources.survey_files import check_header, checksums, numbered_lines, pick_column, read_survey, read_tolerant, sniff
+from tidemark.sources import seeds, survey_files
+from tidemark.sources.byte_ranges import beginnings, byte_ranges, checksums
+from tidemark.sources.survey_files import best_column, check_header, numbered_lines, numbered_records, read_survey, read_tolerant, sniff
+from tidemark.storage import Conflict, Ledger, RuleBroken, Tables, children, derived_dir
 
 HEADER = ";".join(loading.HEADER)
 
@@ -57,6 +61,53 @@ def test_numbers_don_t_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+QUOTED = [
+    'a;"one\nfield";c', "plain;x;y", 'b;"two ""quoted""\n;still; inside\n";c', '"";"";""', 'stray;5" pipe;"x"', "", '"whole\n\nrecord";;', 'c;"tail"after;"z"', '"open;""\n";b;c', ";;", '"a""";"b\n""c""\nd";""""',
+]
+
+
+@pytest.mark.parametrize("size", ["128m", "64b", "7b"])
+def test_records_with_line_breaks_at_any_split(spark, tmp_path, size):
+    """The same rows as Python's reader of such files, wherever a split falls."""
+    rows = [QUOTED[i * 7 % len(QUOTED)] for i in range(60 if size == "7b" else 400)]
+    path = tmp_path / "q.csv"
+    path.write_text("\n".join(["h1;h2;h3", *rows, ""]), encoding="utf-8")
+    with open(path, encoding="utf-8", newline="") as f:
+        want = list(csv.reader(f, delimiter=";"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        records = {r.record_number: (r.record, r.lines) for r in numbered_records(spark, str(path)).collect()}
+        got = {r.line_number: r for r in read_survey(spark, str(path), 1, expected=["h1", "h2", "h3"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(records) == len(want) and [records[i + 2][0] for i in range(len(rows))] == rows and records[2][1] == 2
+    assert sorted(got) == list(range(2, len(want) + 1))
+    for number, fields in enumerate(want[1:], 2):
+        assert got[number].is_malformed == (len(fields) != 3), (number, fields)
+        if len(fields) == 3 and "tail" not in fields[1]:  # letters after a closing quote: kept by either reader in its own way
+            assert [got[number][c] or "" for c in ("h1", "h2", "h3")] == fields
+
+
+def test_a_quote_that_never_closes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(survey_files, "MOST_LINES", 50)
+    path = write(tmp_path, "a.csv", [line(), '"never', *[line()] * 100])
+    with pytest.raises(Exception, match="a quote is not closed in record 3"):
+        read_survey(spark, path, 1).collect()
+
+
+def test_a_file_of_over_two_gigabytes(spark, tmp_path):
+    path = tmp_path / "large.bin"
+    with open(path, "wb") as f:
+        f.truncate((2 << 30) + 4097)
+    row = checksums(spark, str(path)).first()
+    digest, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2 << 10):
+        digest.update(block)
+    digest.update(bytes(4097))
+    assert (row.bytes, row.sha256) == ((2 << 30) + 4097, digest.hexdigest()) and sniff(spark, str(path))[0] == "utf-8"
+
+
 def test_headers_must_agree(spark, tmp_path):
     with pytest.raises(ValueError, match=r"lacking \['bandeira'\], unexpected \['marca'\]"):
         read_survey(spark, write(tmp_path, "a.csv", [line()], header=HEADER.replace("Bandeira", "Marca")), 1)
@@ -71,7 +122,10 @@ def test_what_a_file_looks_like(spark, tmp_path):
     assert sniff(spark, a) == ("utf-8-sig", ";") and sniff(spark, b) == ("latin-1", "\t")
     with open(a, "rb") as f:
         assert checksums(spark, a).first().sha256 == hashlib.sha256(f.read()).hexdigest()
-    assert pick_column(["cnpj_da_revenda", "revenda"], ["revenda"]) == "revenda" and pick_column(["cnpj_da_revenda"], ["x", "cnpj"]) == "cnpj_da_revenda" and pick_column(["a"], ["b"]) is None
+    assert best_column(["cnpj_da_revenda", "revenda"], "revenda") == "revenda" and best_column(["cnpj_da_revenda", "revenda"], "cnpj") == "cnpj_da_revenda" and best_column(["a"], "b") is None
+    cut = write(tmp_path, "d.csv", ["a;b;c,d,e,f,g", "é" * 50, *["a;b;c,"] * 9], "utf-8", "x;y;z")
+    assert sniff(spark, cut, 29) == ("utf-8", ";") and beginnings(spark, cut, 29).first().content == open(cut, "rb").read()[:29]
+    assert b"".join(bytes(r.content) for r in byte_ranges(spark, cut, 50).orderBy("start").collect()) == open(cut, "rb").read()
     assert read_tolerant(spark, write(tmp_path, "c.csv", [line(), "a;b", line()], "utf-8")).count() == 2
 
 
@@ -119,6 +173,165 @@ def test_a_load_that_fails_is_in_the_ledger(spark, tmp_path, house):
     assert spark.sql("SELECT count(*) n FROM survey_facts JOIN survey_stations USING (station_key)").first().n == 1
 
 
+def state_of(h):
+    """What a warehouse has, by names instead of keys."""
+    brands = h.tables.read("brands", BRAND).select("brand_key", "brand_name")
+    facts = h.facts().join(h.stations().select("station_key", "valid_from", "brand_key"), "station_key").join(brands, "brand_key").select("cnpj", "product_key", "collection_date", "sale_price", "source_file_id", "valid_from", "brand_name")
+    spans = h.stations().join(brands, "brand_key").select("cnpj", "legal_name", "brand_name", "valid_from", "valid_to", "is_current", "first_seen_file", "last_seen_file")
+    return [sorted(map(str, df.collect())) for df in (facts, spans, h.rejects().select("source_file_id", "line_number", "rule_name"), h.weekly().drop("city_key"))]
+
+
+def test_a_corrected_file_leaves_nothing_of_the_first(spark, tmp_path):
+    first = [line(day="02/01/2023"), line(day="09/01/2023", price="5,46"), line(day="09/01/2023", cnpj="04431113000100", station="B"), line(product="??")]
+    second = [line(day="02/01/2023", price="5,10"), line(day="09/01/2023", price="5,46", brand="IPIRANGA"), line(day="10/01/2023", price="5,5", brand="IPIRANGA")]
+    later = [line(day="03/07/2023", brand="VIBRA"), line(day="04/07/2023", product="???")]
+    one, two, other = write(tmp_path, "1.csv", first), write(tmp_path, "1b.csv", second), write(tmp_path, "2.csv", later)
+    corrected, alone, kept = (Warehouse(spark, f"file://{tmp_path}/{n}") for n in ("a", "b", "c"))
+    corrected.load(1, one)
+    corrected.load(2, other)
+    corrected.refresh()
+    in_force = lambda: [str(r.valid_from) for r in corrected.facts().where("collection_date > '2023-07-01'").join(corrected.stations(), "station_key").collect()]
+    assert in_force() == ["2023-01-02"]
+    corrected.load(1, two, replace_prices=True)
+    corrected.refresh()
+    alone.load(1, two)
+    alone.load(2, other)
+    alone.refresh()
+    assert state_of(corrected) == state_of(alone)
+    assert not corrected.rejects().where("source_file_id = 1").count() and corrected.rejects().where("source_file_id = 2").count() == 1
+    assert corrected.facts().where("cnpj = '04431113000100'").count() == 0 and corrected.stations().where("cnpj = '04431113000100'").count() == 0
+    assert in_force() == ["2023-07-03"]  # the other file's fact points to the version that the correction has made
+    corrected.verify()
+    # Without replace_prices a stored price stays, and what differs is told.
+    kept.load(1, one)
+    kept.load(1, two)
+    assert {(str(r.collection_date), str(r.sale_price)) for r in kept.facts().where("cnpj = '00003188000121'").collect()} == {("2023-01-02", "5.290"), ("2023-01-09", "5.460"), ("2023-01-10", "5.500")}
+    runs = [r for r in kept.runs().where("stage = 'facts'").orderBy("run_id").collect()]
+    assert runs[1].message == "prices that differ from stored ones: 1; facts restated: 1; facts without a version: 1" and runs[1].rows_out == 1
+    kept.verify()
+
+
+def test_a_load_that_is_killed_changes_nothing(spark, tmp_path, house, monkeypatch):
+    one, two = write(tmp_path, "1.csv", [line(), line(day="16/03/2023")]), write(tmp_path, "2.csv", [line(day="03/07/2023", brand="novo"), line(uf="S1")])
+    house.load(1, one)
+    house.refresh()
+    before, parts = state_of(house), house.tables.snapshot().content
+
+    class Killed(BaseException):
+        pass
+
+    for at in ("_put_snapshots", "_build_versions", "_restate", "add_facts"):
+        def killed(*a, own=getattr(Warehouse, at), **k):
+            own(*a, **k)
+            raise Killed
+
+        with monkeypatch.context() as m, pytest.raises(Killed):
+            m.setattr(Warehouse, at, killed)
+            m.setattr("tidemark.storage.Transaction.discard", lambda self: None)  # nothing is tidied up by what is dead
+            house.load(2, two)
+        assert house.tables.snapshot().content == parts
+    assert state_of(house) == before and house.runs().where("status = 'failed'").count() == 4
+    assert house.tables.vacuum() > 0 and state_of(house) == before
+    house.load(2, two)
+    assert house.facts().count() == 3 and house.tables.vacuum() == 0
+
+
+def test_of_two_writers_one_gets_through(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}/t")
+    with t.transaction() as a:
+        a.replace("x", spark.range(3))
+    seen = t.snapshot()
+    with pytest.raises(Conflict), t.transaction() as late:
+        late.append("x", spark.range(5))
+        with t.transaction() as first:
+            first.replace("x", spark.range(10, 12))
+            assert first.read("x", "id long").count() == 2 and t.read("x", "id long").count() == 3
+    assert t.read("x", "id long").count() == 2 and seen.read("x", "id long").count() == 3
+    with pytest.raises(RuleBroken, match="x: small"), t.transaction() as c:
+        c.append("x", spark.range(50), rules={"small": "id < 40"})
+    assert t.read("x", "id long").count() == 2 and len(children(spark, f"file://{tmp_path}/t/x")) == 2
+
+
+def test_rules_stop_a_load(spark, tmp_path, house, monkeypatch):
+    monkeypatch.setitem(warehouse.FACT_RULES, "cheap", "sale_price < 5")
+    with pytest.raises(RuleBroken, match="facts: cheap"):
+        house.load(1, write(tmp_path, "1.csv", [line(), line(price="4,9", day="16/03/2023")]))
+    assert not house.tables.has("facts") and house.runs().where("stage = 'facts'").first().status == "failed" and house.catalog().where("source_file_id = 1").first().status == "failed"
+
+
+def test_other_code_reads_no_old_tables(spark, tmp_path, monkeypatch):
+    source = tmp_path / "input.txt"
+    source.write_text("x")
+    one = derived_dir(spark, "probe", f"file://{source}")
+    with Tables(spark, one).transaction() as t:
+        t.replace("x", spark.range(1))
+    assert derived_dir(spark, "probe", f"file://{source}") == one and Tables(spark, one).has("x")
+    monkeypatch.setattr("tidemark.storage.code_state", lambda: "other")
+    assert derived_dir(spark, "probe", f"file://{source}") != one and not Tables(spark, one).has("x")
+
+
+def test_a_small_load_writes_little(spark, tmp_path):
+    many = [line(cnpj=f"{i:014d}", day=f"{d:02d}/{m:02d}/2023") for i in range(1, 60) for m in (1, 4) for d in (2, 9)]
+    h = Warehouse(spark, f"file://{tmp_path}/w")
+    h.load(1, write(tmp_path, "1.csv", many))
+    h.refresh()
+    before = h.tables.snapshot()
+    h.load(2, write(tmp_path, "2.csv", [line(cnpj=f"{7:014d}", day="03/07/2023", brand="novo")]))
+    h.refresh()
+    after = h.tables.snapshot()
+    changed = {n: [p for p, f in after.parts(n).items() if before.parts(n).get(p) != f] for n in ("stations", "facts", "weekly", "snapshots")}
+    assert [len(changed[n]) for n in ("stations", "facts", "weekly", "snapshots")] == [1, 1, 1, 1] and changed["weekly"] == ["quarter=2023q3"]
+    assert h.stations().where("cnpj = '00000000000007'").count() == 2 and h.stations().count() == 60
+    rolled = sorted(map(str, h.weekly().collect()))
+    h.refresh(whole=True)
+    assert rolled == sorted(map(str, h.weekly().collect()))
+
+
+def test_merges_outlive_loads(spark, tmp_path, house):
+    house.load(1, write(tmp_path, "1.csv", [line(day="02/01/2023", brand="OLD A"), line(day="09/01/2023", brand="OLD B"), line(day="16/01/2023", brand="NEW C"), line(day="16/01/2023", cnpj="04431113000100", brand="OLD A")]))
+    house.refresh()
+    assert house.stations().count() == 4 and house.model().brand_changes.count() == 2
+    house.merge_brand("OLD A", "OLD B")
+    house.merge_brand("OLD B", "NEW C")
+    house.review_brands("NEW C")
+
+    def holds():
+        names = {r.brand_name for r in house.stations().join(house.tables.read("brands", BRAND), "brand_key").collect()}
+        assert names <= {"NEW C", "VIBRA"} and house.facts().join(house.stations(), "station_key").count() == house.facts().count()
+        house.verify()
+
+    holds()
+    assert house.stations().count() == 2 and house.model().brand_changes.count() == 0
+    house.load(2, write(tmp_path, "2.csv", [line(day="03/07/2023", brand="old a"), line(day="04/07/2023", brand="VIBRA")]))
+    holds()
+    spans = house.stations().where("cnpj = '00003188000121'").orderBy("valid_from").collect()
+    assert len(spans) == 2 and house.model().brand_changes.count() == 1 and str(spans[1].valid_from) == "2023-07-04"
+    assert [r.stage for r in house.runs().where("stage in ('merge_brand', 'review')").orderBy("run_id").collect()] == ["merge_brand", "merge_brand", "review"]
+    assert house.tables.read("brands", BRAND).where("brand_name = 'NEW C' and not needs_review and reviewed_at is not null").count() == 1
+
+
+def test_pending_files_are_loaded_in_order(spark, tmp_path, house):
+    for name, day in (("ca-2023-02.csv", "03/07/2023"), ("ca-2023-01.csv", "02/01/2023")):
+        write(tmp_path, name, [line(day=day)])
+    assert house.load_pending(f"file://{tmp_path}") == [1, 2] and house.load_pending(f"file://{tmp_path}") == []
+    house.load(1, f"file://{tmp_path}/ca-2023-01.csv", keep_staging=True)
+    assert house.tables.has("staging") and house.facts().count() == 2
+
+
+def test_chains_of_merges(spark):
+    found = closure(spark.createDataFrame([(k, k + 1) for k in range(1, 9)] + [(20, 21)], "brand_key int, into_key int"))
+    assert {(r.brand_key, r.into_key) for r in found.collect()} == {*((k, 9) for k in range(1, 9)), (20, 21)}
+
+
+def test_ledger_notes_are_gathered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.storage.Ledger.GATHER", 6)
+    ledger = Ledger(spark, f"file://{tmp_path}/runs")
+    for i in range(5):
+        ledger.end(ledger.begin({"stage": f"s{i}", "status": "running"}) | {"status": "done"})
+    rows = ledger.read("run_id long, stage string, status string").where("status = 'done'").collect()
+    assert sorted((r.run_id, r.stage) for r in rows) == [(i + 1, f"s{i}") for i in range(5)] and len(children(spark, f"file://{tmp_path}/runs")) == 5
+
+
 DAY = dt.date(2023, 5, 1)
 
 

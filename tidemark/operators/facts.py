@@ -32,7 +32,8 @@ def build_stations(snapshots: DataFrame) -> DataFrame:
         F.col("first_source_file_id").alias("first_seen_file"), F.col("last_source_file_id").alias("last_seen_file"), state.alias("attribute_hash"))
 
 
-def build_facts(prices: DataFrame, stations: DataFrame) -> DataFrame:
-    """Prices with the station version of their day and the quarter that they are stored under."""
-    placed = as_of(prices, stations.select("cnpj", "station_key", "valid_from", "valid_to"), "cnpj", "collection_date")
-    return placed.select("collection_date", "cnpj", "station_key", "product_key", "sale_price", "source_file_id", quarter(F.col("collection_date")).alias("quarter"))
+def build_facts(prices: DataFrame, stations: DataFrame, how: str = "inner", *more: str) -> DataFrame:
+    """Prices with the station version of their day, the quarter that they are stored under, and ``more`` of their own columns.
+    Prices without a version go, or, if ``how`` is left, have none."""
+    placed = as_of(prices, stations.select("cnpj", "station_key", "valid_from", "valid_to"), "cnpj", "collection_date", how)
+    return placed.select("collection_date", "cnpj", "station_key", "product_key", "sale_price", "source_file_id", quarter(F.col("collection_date")).alias("quarter"), *more)

@@ -22,6 +22,15 @@ def one_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -
     return best.select(*keys, "first_row.*").select(*df.columns)
 
 
+def changed_keys(old: DataFrame, new: DataFrame, keys: Sequence[str], day: str, attributes: Sequence[str]) -> DataFrame:
+    """(keys, first_day) of the entities whose snapshots differ between two sets, with the first day on which they do. A set has at
+    most one snapshot a key and day; one that only one set has differs."""
+    state = lambda df, name: df.select(*keys, day, F.struct(*attributes).alias(name), F.lit(True).alias(f"in_{name}"))
+    both = state(old, "old").join(state(new, "new"), [*keys, day], "full")
+    differ = F.col("in_old").isNull() | F.col("in_new").isNull() | ~F.col("old").eqNullSafe(F.col("new"))
+    return both.where(differ).groupBy(*keys).agg(F.min(day).alias("first_day"))
+
+
 def versions(snapshots: DataFrame, key: str, day: str, attributes: Sequence[str], least: Sequence[str] = (), seen: str | None = None) -> DataFrame:
     """(key, attributes, least, valid_from, valid_to, is_current) from one snapshot a key and day.
 

@@ -14,7 +14,7 @@ from tidemark.operators.facts import lowest_price
 from tidemark.operators.history import versions
 from tidemark.plans.model import Model
 from tidemark.plans.warehouse import written_model
-from tidemark.storage import shared_dir, state
+from tidemark.storage import derived_dir
 
 #: Event types by product key, from 1.
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -52,9 +52,8 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model(spark: SparkSession, sf_dir: str) -> Model:
-    """Stations, facts and rollup are written once for each state of the input tables, and read by every question."""
-    inputs = [f"{sf_dir}/{t}.parquet" for t in ("events", "customer")]
-    folder = f"{shared_dir(spark)}/tidemark/model-{state(spark, *inputs)}"
+    """Stations, facts and rollup are written once for each state of the input tables and of this code, and read by every question."""
+    folder = derived_dir(spark, "model", *[f"{sf_dir}/{t}.parquet" for t in ("events", "customer")])
     facts, versions_, weekly = written_model(spark, folder, lambda: stations(spark, sf_dir), lambda: lowest_price(observations(spark, sf_dir)))
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     cities = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(

@@ -1,7 +1,7 @@
 """Queries over survey files and the warehouse that they are loaded into, and over its control tables.
 
 The files are synthesised: the dirty rows of ``analog.raw_survey`` as text, with marks in the header, a byte order mark,
-quoted fields and lines that lack a field. They and the warehouse are written once for each state of the input.
+quoted fields and lines that lack a field. They and the warehouses are written once for each state of the input and of this code.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from tidemark.operators.keys import merge_brand, review, unused_brands
 from tidemark.plans import ops
 from tidemark.plans.analog import model, observations, raw_products, raw_survey, table
 from tidemark.plans.warehouse import Warehouse
-from tidemark.schemas import SURVEY_COLUMNS
+from tidemark.schemas import STATION, SURVEY_COLUMNS
 from tidemark.sources import seeds
-from tidemark.sources.survey_files import check_header, checksums, header_of, numbered_lines, read_survey
-from tidemark.storage import Tables, shared_dir, state
+from tidemark.sources.byte_ranges import checksums
+from tidemark.sources.survey_files import check_header, header_of, numbered_records, read_survey
+from tidemark.storage import Conflict, Tables, derived_dir
 
 # The header cells of a survey file.
 HEADER = (
@@ -33,25 +34,44 @@ SHORT_EVERY, SHORT_AT, QUOTED_EVERY = 67, 11, 4
 NOW = "1998-08-02 12:00:00"
 
 
-def survey_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_number, value) of the synthesised file."""
-    rows, event = raw_survey(spark, sf_dir), F.col("line_number") - 2
+def survey_lines(rows: DataFrame) -> DataFrame:
+    """(line_number, value) of the file that holds raw rows."""
+    event = F.col("line_number") - 2
     field = lambda c: F.coalesce(F.col(c), F.lit(""))
     quoted = lambda c: F.when(event % QUOTED_EVERY == 0, F.concat(F.lit('"'), field(c), F.lit('"'))).otherwise(field(c))
     whole = F.concat_ws(";", *map(quoted, SURVEY_COLUMNS))
     short = F.concat_ws(";", *map(quoted, SURVEY_COLUMNS[:-1]))
     body = rows.select("line_number", F.when(event % SHORT_EVERY == SHORT_AT, short).otherwise(whole).alias("value"))
-    return body.unionByName(spark.range(1).select(F.lit(1).alias("line_number"), F.lit("﻿" + ";".join(HEADER)).alias("value")))
+    return body.unionByName(rows.sparkSession.range(1).select(F.lit(1).alias("line_number"), F.lit("﻿" + ";".join(HEADER)).alias("value")))
+
+
+def spoilt_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows as a first file had them, before it was corrected: prices, brands and products that are others, rows that are too
+    many, and a file that ends early."""
+    rows, event = raw_survey(spark, sf_dir), F.col("line_number") - 2
+    user = F.col("cnpj_da_revenda").substr(-5, 5)
+    return rows.where((event % 19 != 6) & (event % 23 != 7)).withColumns({
+        "valor_de_venda": F.when(event % 7 == 3, F.concat(F.col("valor_de_venda"), F.lit("1"))).otherwise(F.col("valor_de_venda")),
+        "bandeira": F.when(event % 11 == 4, F.lit("BRANCA")).otherwise(F.col("bandeira")),
+        "produto": F.when(event % 13 == 5, F.lit("??")).otherwise(F.col("produto")),
+        "data_da_coleta": F.when((event % 17 == 2) & user.isNotNull(), F.lit("05/02/2024")).otherwise(F.col("data_da_coleta"))})
+
+
+#: The files that are synthesised, by name.
+FILES = {"survey": raw_survey, "spoilt": spoilt_survey}
 
 
-def survey_file(spark: SparkSession, sf_dir: str) -> str:
+def survey_file(spark: SparkSession, sf_dir: str, name: str = "survey") -> str:
     """The folder of parts that is the file, written if need be."""
-    folder = f"{shared_dir(spark)}/tidemark/survey-{state(spark, f'{sf_dir}/events.parquet')}"
-    tables = Tables(spark, folder)
-    if not tables.path("file"):
-        lines = survey_lines(spark, sf_dir).repartitionByRange(4, "line_number").sortWithinPartitions("line_number")
-        lines.select("value").write.text(f"{folder}/file/v000001")
-    return tables.path("file")
+    tables = Tables(spark, derived_dir(spark, name, f"{sf_dir}/events.parquet"))
+    if not tables.has("file"):
+        lines = survey_lines(FILES[name](spark, sf_dir)).repartitionByRange(4, "line_number").sortWithinPartitions("line_number")
+        try:
+            with tables.transaction() as t:
+                t.put_files("file", lambda path: lines.select("value").write.text(path))
+        except Conflict:
+            pass  # another session has written the same
+    return tables.snapshot().folders("file")[0]
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +87,7 @@ def file_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file's columns in order, after the check against those expected."""
-    found = header_of(numbered_lines(spark, survey_file(spark, sf_dir)), ";")
+    found = header_of(numbered_records(spark, survey_file(spark, sf_dir)), ";")
     check_header(found, SURVEY_COLUMNS, "survey")
     return spark.createDataFrame(list(enumerate(found, 1)), "place int, name string")
 
@@ -79,14 +99,49 @@ def file_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loaded(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The warehouse with the file loaded and the rollup refreshed."""
-    folder = f"{shared_dir(spark)}/tidemark/warehouse-{state(spark, f'{sf_dir}/events.parquet')}"
-    house = Warehouse(spark, folder, raw_products(spark))
-    if not house.tables.path("weekly"):
+    house = Warehouse(spark, derived_dir(spark, "warehouse", f"{sf_dir}/events.parquet"), raw_products(spark))
+    if not house.tables.has("weekly"):
         house.load(1, survey_file(spark, sf_dir))
         house.refresh()
     return house
 
 
+def reloaded(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The warehouse once the spoilt file was loaded and the rollup made, then the corrected one with its prices, and the rollup brought up to date."""
+    house = Warehouse(spark, derived_dir(spark, "reloaded", f"{sf_dir}/events.parquet"), raw_products(spark))
+    if not house.tables.has("weekly"):
+        house.load(1, survey_file(spark, sf_dir, "spoilt"))
+        house.refresh()
+    if house.catalog().where("sha256 is not null").count() and house.runs().where("stage = 'facts'").count() < 2:
+        house.load(1, survey_file(spark, sf_dir), replace_prices=True)
+        house.refresh()
+    return house
+
+
+def reload_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and the versions that they point to after a corrected file was loaded again: as if it had come alone."""
+    house = reloaded(spark, sf_dir)
+    versions_ = house.stations().select("station_key", "valid_from", "valid_to", "last_seen_file")
+    return house.facts().join(versions_, "station_key").select("cnpj", "product_key", "collection_date", F.col("sale_price").cast("double").alias("sale_price"), "quarter", "valid_from", "valid_to", "last_seen_file")
+
+
+def reload_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects by rule after a corrected file was loaded again: none of the first file's stays."""
+    return reloaded(spark, sf_dir).rejects().groupBy("source_file_id", "rule_name").agg(F.count(F.lit(1)).alias("rejects"), F.count("raw_row").alias("samples"))
+
+
+def reload_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after only the quarters that a corrected file has changed were computed anew."""
+    return _named_rollup(reloaded(spark, sf_dir))
+
+
+def reject_samples_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the sample rows that rejects keep as JSON."""
+    rows = loaded(spark, sf_dir).rejects().where("raw_row is not null")
+    at = lambda name: F.get_json_object("raw_row", f"$.{name}").alias(name)
+    return rows.select("line_number", "rule_name", at("cnpj_da_revenda"), at("produto"), at("data_da_coleta"), at("valor_de_venda"), F.coalesce(F.json_object_keys("raw_row"), F.array()).alias("k")).withColumn("fields", F.size("k")).drop("k")
+
+
 def warehouse_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     house = loaded(spark, sf_dir)
     brands = house.model().brands.select("brand_key", "brand_name")
@@ -100,12 +155,16 @@ def warehouse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return house.facts().join(versions_, "station_key").select("cnpj", "product_key", "collection_date", F.col("sale_price").cast("double").alias("sale_price"), "quarter", "valid_from")
 
 
-def warehouse_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = loaded(spark, sf_dir).model()
+def _named_rollup(house: Warehouse) -> DataFrame:
+    m = house.model()
     named = m.weekly.join(m.cities.select("city_key", "city_name"), "city_key")
     return named.select("survey_week_key", "city_name", "product_key", "observations", F.col("median_price").cast("double").alias("median_price"))
 
 
+def warehouse_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named_rollup(loaded(spark, sf_dir))
+
+
 def warehouse_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of the catalog after the load, and the runs of each kind."""
     house = loaded(spark, sf_dir)
@@ -166,11 +225,18 @@ def version_least(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts that a second load adds to those of the first 20 days: grains that are there are ignored, whatever their price."""
-    prices = lowest_price(observations(spark, sf_dir))
-    known = prices.where("collection_date < date'2024-01-21'").select("cnpj", "product_key", "collection_date")
-    new = prices.withColumn("sale_price", F.col("sale_price") + 1).join(known, ["cnpj", "product_key", "collection_date"], "left_anti")
-    return new.groupBy("product_key", quarter(F.col("collection_date")).alias("quarter")).agg(F.count(F.lit(1)).alias("added"))
+    """Facts that a second file adds to those of the first 20 days: grains that are there are ignored, whatever their price."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("events", "customer")]
+    house = Warehouse(spark, derived_dir(spark, "append", *inputs), raw_products(spark))
+    if not house.tables.has("facts"):
+        versions_, prices = model(spark, sf_dir).stations, lowest_price(observations(spark, sf_dir))
+        missing = [c for c in STATION.split(", ") if c.split()[0] not in versions_.columns]
+        whole = versions_.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in missing}).withColumn("bucket", house.bucket())
+        with house.tables.transaction() as t:
+            t.replace("stations", whole, ("bucket",))
+            for file, part in ((1, prices.where("collection_date < date'2024-01-21'")), (2, prices.withColumn("sale_price", (F.col("sale_price") + 1).cast("decimal(8,3)")))):
+                house.add_facts(t, part.withColumn("source_file_id", F.lit(file)), file, ["2024q1"])
+    return house.facts().where("source_file_id = 2").groupBy("product_key", "quarter").agg(F.count(F.lit(1)).alias("added"))
 
 
 def partition_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +275,6 @@ QUERIES = {
     "file_ingest": file_ingest, "file_header": file_header, "file_checksum": file_checksum, "warehouse_stations": warehouse_stations, "warehouse_facts": warehouse_facts,
     "warehouse_rollup": warehouse_rollup, "warehouse_catalog": warehouse_catalog, "load_health": load_health, "stuck_runs": stuck_runs, "station_lookup": station_lookup,
     "brand_merge": brand_merge, "brand_review": brand_review, "version_least": version_least, "fact_append": fact_append, "broken_rules": broken_rules,
+    "reload_changes": reload_changes, "reload_rejects": reload_rejects, "reload_rollup": reload_rollup, "reject_samples_json": reject_samples_json,
     "partition_anomalies": partition_anomalies, "unused_part_anti_join": unused_part_anti_join,
 }

@@ -310,6 +310,20 @@ i AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY o_custkey ORDER
 SELECT o_custkey, state, priority, valid_from, coalesce(lead(valid_from) OVER (PARTITION BY o_custkey ORDER BY valid_from), DATE '9999-12-31') AS valid_to
 FROM (SELECT o_custkey, island, min(s) AS state, min(p) AS priority, min(day) AS valid_from FROM i GROUP BY 1, 2)""",
     "fact_append": _with(body="SELECT product_key, year(d) || 'q' || quarter(d) AS quarter, count(*) AS added FROM low WHERE d >= DATE '2024-01-21' GROUP BY 1, 2"),
+    "reload_changes": f"""WITH {_FILE}
+SELECT st.cnpj, product_key, d AS collection_date, CAST(p AS DOUBLE) AS sale_price, year(d) || 'q' || quarter(d) AS quarter, st.valid_from, span.valid_to, CAST(1 AS INTEGER) AS last_seen_file
+FROM stored st JOIN span ON span.cnpj = st.cnpj AND span.valid_from = st.valid_from""",
+    "reload_rejects": f"""WITH {_FILE}
+SELECT CAST(1 AS INTEGER) AS source_file_id, reject_rule AS rule_name, count(*) AS rejects, least(count(*), 100) AS samples FROM lines WHERE reject_rule IS NOT NULL GROUP BY 2""",
+    "reject_samples_json": f"""WITH {_FILE},
+sample AS (
+  SELECT line_number, reject_rule AS rule_name, line_number - 2 AS n, blank OR reject_rule = 'field_count' AS bare, CASE WHEN cnpj_raw = '12.3' THEN cnpj_raw WHEN cnpj_raw IS NOT NULL THEN masked END AS cnpj, product_raw
+  FROM lines WHERE reject_rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY reject_rule ORDER BY line_number) <= 100)
+SELECT line_number, rule_name, CASE WHEN NOT bare THEN cnpj END AS cnpj_da_revenda, CASE WHEN NOT bare THEN product_raw END AS produto,
+  CASE WHEN NOT bare THEN CASE WHEN n % 47 = 1 THEN '31/02/2024' WHEN n % 53 = 2 THEN '15/03/2019' ELSE strftime(ts, '%d/%m/%Y') END END AS data_da_coleta,
+  CASE WHEN NOT bare THEN CASE WHEN n % 59 = 4 THEN '1.234,56' ELSE replace(CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), '.', ',') END END AS valor_de_venda,
+  CAST(CASE WHEN bare THEN 0 ELSE 12 + CAST(cnpj IS NOT NULL AS INTEGER) + CAST(n % 5 <> 2 AS INTEGER) END AS INTEGER) AS fields
+FROM sample JOIN events ON event_id = n""",
     "partition_anomalies": _with(body="""SELECT CASE WHEN product_key = 2 THEN 'default' ELSE year(d) || 'q' || quarter(d) END AS quarter, count(*) AS rows, min(x) AS first_day, max(x) AS last_day, CAST(1 AS BIGINT) AS files, product_key = 2 AS is_anomalous
 FROM (SELECT *, CASE WHEN product_key = 2 THEN CAST(d + INTERVAL 4 YEAR AS DATE) ELSE d END AS x FROM fact) GROUP BY 1, product_key = 2"""),
     "unused_part_anti_join": "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)",
@@ -326,3 +340,4 @@ FROM (SELECT *, CASE WHEN product_key = 2 THEN CAST(d + INTERVAL 4 YEAR AS DATE)
         _count("versions have cities", "(SELECT 1 FROM s WHERE city_key = 3)"),
         "SELECT 'aliases have brands' AS rule, CAST(1 AS BIGINT) AS rows", "SELECT 'one key a brand' AS rule, CAST(0 AS BIGINT) AS rows", "SELECT 'one key a city' AS rule, CAST(0 AS BIGINT) AS rows"))),
 }
+SQL["reload_rollup"] = SQL["warehouse_rollup"]  # a rollup brought up to date equals one made anew

@@ -24,7 +24,7 @@ STATION_ATTRIBUTES = ("legal_name", "brand_key", "city_key", "street", "street_n
 
 REJECT = "source_file_id int, line_number int, rule_name string, detail string, raw_row string, rejected_at timestamp"
 STATION = (
-    "station_key long, cnpj string, legal_name string, brand_key int, city_key int, street string, street_number string, district string,"
+    "station_key long, cnpj string, legal_name string, brand_key int, city_key int, street string, street_number string, district string, "
     "zip_code string, complement string, valid_from date, valid_to date, is_current boolean, first_seen_file int, last_seen_file int, attribute_hash string"
 )
 FACT = "collection_date date, cnpj string, station_key long, product_key smallint, sale_price decimal(8,3), source_file_id int, quarter string"
@@ -39,9 +39,10 @@ WEEKLY = (
 CITY = "city_key int, city_name string, uf string, region string, ibge_code string"
 BRAND = "brand_key int, brand_name string, is_unbranded boolean, needs_review boolean, reviewed_at timestamp"
 ALIAS = "alias_text string, brand_key int, is_rename boolean, note string"
+MERGE = "brand_key int, into_key int, merged_at timestamp"
 PRODUCT = "product_key smallint, source_product_name string, product_name string, fuel_family string, unit_of_measure string, is_liquid_fuel boolean, in_default_scope boolean"
 CATALOG = (
-    "source_file_id int, half_year string, file_name string, period_start date, period_end date, encoding string, delimiter string,"
+    "source_file_id int, half_year string, file_name string, period_start date, period_end date, encoding string, delimiter string, "
     "expected_columns array<string>, sha256 string, status string"
 )
 RUN = (
