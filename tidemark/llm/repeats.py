@@ -42,35 +42,55 @@ PERIOD, COVER = 7, (0, 1, 3)
 SIDE = PERIOD - 1
 SYMBOL = 8
 #: Bytes of text in a run, and for each range of names. Longer documents are cut into chunks that overlap by a window less a byte.
-RUN_BYTES, RANGE_BYTES = 6 << 20, 8 << 20
+RUN_BYTES, RANGE_BYTES = 5 << 20, 8 << 20
+#: Bits of the table that tells most samples that aren't repeated.
+SIEVE = 24
 #: Leading bits of a name beyond the logarithm of their number: 1 in 64 names that aren't repeated goes on for nothing.
 SPARE_BITS = 6
 #: Stands for a null id: smaller than all others.
 NO_ID = -(1 << 63)
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_SAMPLED = np.isin(np.arange(PERIOD), COVER)
+#: Sampled places that are named at once.
+BLOCK = 1 << 15
+
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M2
-    return x ^ (x >> np.uint64(29))
+    """Every bit of x spread over all of them; x itself is changed."""
+    x ^= x >> np.uint64(32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Names of the strings of ``length`` bytes at some places of ``data``."""
-    name, covered = np.ndarray((max(0, len(data) - SYMBOL + 1),), "<u8", data, strides=(1,)), SYMBOL
+    """Names of the strings of ``length`` bytes at some ascending places of ``data``, a block of the data at a time."""
+    out = np.empty(len(at), "u8")
+    for first in range(0, len(at), BLOCK):
+        own = at[first : first + BLOCK]
+        low = int(own[0])
+        out[first : first + BLOCK] = _names(data[low : int(own[-1]) + length], own - low, length)
+    return out
+
+
+def _names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    symbols = np.ndarray((len(data) - SYMBOL + 1,), "<u8", data, strides=(1,))
+    name, covered = _scramble(symbols.copy()), SYMBOL
     while covered < length:
         wide = min(3 * covered, length)
         middle, last = (wide - covered) // 2, wide - covered
         if wide == length:
             first, second, third = name[at], name[at + middle], name[at + last]
         else:
-            n = max(0, len(name) - last)
-            first, second, third = name[:n], name[middle : middle + n], name[last : last + n]
-        name = _scramble(_scramble(_scramble(first) * _M1 + second) * _M1 + third)
-        covered = wide
-    return name
+            n = len(name) - last
+            first, second, third = name[:n].copy(), name[middle : middle + n], name[last : last + n]
+        first *= _M1
+        first += second
+        first *= _M3
+        first += third
+        name, covered = first, wide
+    return _scramble(name if length > SYMBOL else name[at])
 
 
 @dataclass
@@ -90,11 +110,11 @@ class Run:
     def sampled(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, chunks, names) of the sampled strings."""
         length = window - SIDE
-        chunk = np.repeat(np.arange(len(self.sizes), dtype="i4"), self.sizes)
-        offset = np.arange(len(self.data) - SYMBOL, dtype="i4") - self.starts.astype("i4")[chunk]
-        own = self.sizes.astype("i4")[chunk]
-        at = np.flatnonzero(_SAMPLED[offset % PERIOD] & (offset + length <= own) & (own >= window))
-        return at, chunk[at], names(self.data, at, length)
+        longest = int(self.sizes.max(initial=0))
+        pattern = (np.arange(0, longest + PERIOD, PERIOD)[:, None] + np.array(COVER)).ravel()
+        many = np.where(self.sizes >= window, np.searchsorted(pattern, self.sizes - length, "right"), 0)
+        at = np.concatenate([pattern[:0], *(pattern[:n] + first for n, first in zip(many.tolist(), self.starts.tolist(), strict=True) if n)])
+        return at, np.repeat(np.arange(len(self.sizes), dtype="i4"), many), names(self.data, at, length)
 
 
 def cut_runs(rows: Iterator[tuple[int | None, bytes]], window: int, run_bytes: int) -> Iterator[Run]:
@@ -147,26 +167,41 @@ class _Samples:
     """The sampled strings of a run by their leading bits."""
 
     def __init__(self, run: Run, window: int, bits: int) -> None:
-        self.run, self.window = run, window
+        self.run, self.window, self.low = run, window, np.uint64(64 - bits)
         self.at, self.chunk, self.name = run.sampled(window)
-        # The range is told by the top 32 bits, so those are kept whole.
-        self.short, self.inverse = np.unique(self.name >> np.uint64(64 - bits) << np.uint64(64 - bits), return_inverse=True)
 
-    def shared(self) -> np.ndarray:
-        """Which leading bits stand in several documents of this run."""
-        doc = self.run.docs[self.chunk]
-        low, high = np.full(len(self.short), np.iinfo("i8").max), np.full(len(self.short), NO_ID)
-        np.minimum.at(low, self.inverse, doc)
-        np.maximum.at(high, self.inverse, doc)
-        return low < high
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different leading bits, ascending, and which of them stand in several documents of this run."""
+        docs, of = np.unique(self.run.docs, return_inverse=True)
+        if len(docs) <= 1 << int(self.low):  # document numbers fit below the leading bits
+            both = np.sort(self.name >> self.low << self.low | of.astype("u8")[self.chunk])
+            short, doc = both >> self.low, both & ((np.uint64(1) << self.low) - np.uint64(1))
+        else:
+            short, doc = self.name >> self.low, of[self.chunk]
+            order = np.lexsort((doc, short))
+            short, doc = short[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, "i8")
+        return short[first], doc[first] != doc[np.append(first[1:], len(short)) - 1] if len(short) else np.zeros(0, bool)
+
+    def repeated(self, answers: Callable[[int], np.ndarray]) -> np.ndarray:
+        """Which samples have leading bits that the ranges have found repeated; ``answers`` gives those for the n listed ones."""
+        short = self.name >> self.low
+        every = np.sort(short)
+        every = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
+        hit = every[answers(len(every)).astype(bool)]
+        # Most samples are told by a table of hashed bits, which lets some pass that aren't hits.
+        seen = np.zeros(1 << SIEVE, bool)
+        seen[(hit & np.uint64((1 << SIEVE) - 1)).astype("i4")] = True
+        own = np.flatnonzero(seen[(short & np.uint64((1 << SIEVE) - 1)).astype("i4")])
+        place = np.minimum(np.searchsorted(hit, short[own]), max(0, len(hit) - 1))
+        return own[hit[place] == short[own]] if len(hit) else own[:0]
 
 
 class _Entries:
     """The repeated samples of a run: names with the bytes at their sides, once each, with the least document that has them."""
 
-    def __init__(self, samples: _Samples, repeated: np.ndarray) -> None:
+    def __init__(self, samples: _Samples, own: np.ndarray) -> None:
         run, window = samples.run, samples.window
-        own = repeated[samples.inverse]
         self.at, chunk, name = samples.at[own], samples.chunk[own], samples.name[own]
         offset, room = self.at - run.starts[chunk], run.sizes[chunk] - (self.at - run.starts[chunk]) - (window - SIDE)
         self.left, self.right = np.minimum(offset, SIDE), np.minimum(room, SIDE)
@@ -178,17 +213,22 @@ class _Entries:
         after = big[self.at + window - SIDE + SYMBOL].astype("u8") >> np.uint64(16) & ~low(SIDE - self.right)
         room_ = (self.left * 8 + self.right).astype("u8")
         doc = run.docs[chunk]
-        order = np.lexsort((doc, room_, after, before, name))
+        order = np.argsort(name)
+        same = name[order][1:] == name[order][:-1]
+        if same.any():  # names that stand several times in the run are set in order by the bytes at their sides
+            several = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+            sub = order[several]
+            order[several] = sub[np.lexsort((room_[sub], after[sub], before[sub], name[sub]))]
         columns = [c[order] for c in (name, before, after, room_)]
         new = np.ones(len(order), bool)
         if len(order):
             new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
         first = np.flatnonzero(new)
         self.name, self.before, self.after, self.room = (c[first] for c in columns)
-        self.doc = doc[order][first]
+        self.doc = np.minimum.reduceat(doc[order], first) if len(first) else doc[:0]
         self.of = np.empty(len(order), "i8")
         self.of[order] = np.cumsum(new) - 1
-        self.later = doc > self.doc[self.of] if len(order) else np.zeros(0, bool)
+        self.later = doc > self.doc[self.of]
 
     def windows(self, answers: np.ndarray) -> np.ndarray:
         """Starts of the run's repeated windows, given what the ranges answer for each entry."""
@@ -202,16 +242,20 @@ class _Entries:
 def _answers(name: np.ndarray, before: np.ndarray, after: np.ndarray, room: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each entry of a range, a bit for each place of a window around the name: whether a smaller document has that window."""
     out = np.zeros(len(name), "u1")
-    left, right = room >> np.uint64(3), room & np.uint64(7)
+    order = np.argsort(name)
+    same = name[order][1:] == name[order][:-1]
+    several = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order  # a name that stands once has no partner
+    left, right = room[several] >> np.uint64(3), room[several] & np.uint64(7)
     for shift in range(PERIOD):
-        own = np.flatnonzero((left >= shift) & (right >= SIDE - shift))
+        own = several[(left >= shift) & (right >= SIDE - shift)]
         # The window's bytes beside the name: the last ones before it, the first ones after it.
         beside = (before[own] & np.uint64((1 << 8 * shift) - 1)) << np.uint64(8 * (SIDE - shift)) | after[own] >> np.uint64(8 * shift)
-        order = np.lexsort((doc[own], beside, name[own]))
+        order = np.argsort(_scramble(beside * _M1 + name[own]))  # one number a window: equal ones are neighbours
         own, beside = own[order], beside[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (name[own][1:] != name[own][:-1]) | (beside[1:] != beside[:-1])
-        first = doc[own][np.flatnonzero(new)][np.cumsum(new) - 1] if len(own) else doc[own]
+        if not len(own):
+            continue
+        new = np.concatenate([[True], (name[own][1:] != name[own][:-1]) | (beside[1:] != beside[:-1])])
+        first = np.minimum.reduceat(doc[own], np.flatnonzero(new))[np.cumsum(new) - 1]
         out[own[doc[own] > first]] |= np.uint8(1 << shift)
     return out
 
@@ -262,8 +306,8 @@ def _store(replies: DataFrame, folder: str) -> None:
             attempt = f"{folder}/{task[0]}-{TaskContext.get().taskAttemptId()}"
             with files.create(attempt) as out:
                 for turn, found in whole.items():
-                    joined = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(a), "u1") for a in found])
-                    out.write(np.array([turn, digests[turns.index(turn)], len(joined)], "<i8").tobytes() + joined.tobytes())
+                    joined = zstandard.ZstdCompressor(3).compress(b"".join(map(zstandard.ZstdDecompressor().decompress, found)))
+                    out.write(np.array([turn, digests[turns.index(turn)], len(joined)], "<i8").tobytes() + joined)
             files.move(attempt, f"{folder}/{task[0]}")
             yield pa.RecordBatch.from_arrays([pa.array([task[0]], pa.int32())], ["task"])
 
@@ -277,6 +321,7 @@ class _Stored:
         self.folder, self.at = folder, None
 
     def of(self, turn: int, run: Run, n: int) -> np.ndarray:
+        """The answers for the n items that a run has sent."""
         if not n:
             return np.zeros(0, "u1")
         if self.at is None:
@@ -286,9 +331,10 @@ class _Stored:
                 self.at[key] = digest, i + 8 * _HEAD, size
                 i += 8 * _HEAD + size
         digest, first, size = self.at.get(turn, (None, 0, 0))
-        if digest != run.digest or size != n:
+        answers = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data[first : first + size].tobytes()), "u1") if size else np.zeros(0, "u1")
+        if digest != run.digest or len(answers) != n:
             raise RuntimeError("the documents came in another order when they were read again: pass written=False")
-        return np.asarray(self.data[first : first + size])
+        return answers
 
 
 def _answered_names(table: pa.Table) -> list[bytes]:
@@ -346,16 +392,19 @@ def mark_repeats(
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, run in enumerate(cut_runs(_rows(batches), window, run_bytes)):
             own = _Samples(run, window, bits)
-            short, shared = own.short >> np.uint64(64 - bits), own.shared()
-            rows = _cut_by_part(run, turn, _part(own.short, parts), parts, lambda s, v=short, m=shared: (_pack(_differences(v[s])), np.packbits(m[s]).tobytes()))
+            short, shared = own.listed()
+            rows = _cut_by_part(run, turn, _part(short << own.low, parts), parts, lambda s, v=short, m=shared: (_pack(_differences(v[s])), np.packbits(m[s]).tobytes()))
             if rows:
                 yield _batch(rows, _LISTS)
 
+    def _entries(run: Run, turn: int, stored: _Stored) -> _Entries:
+        samples = _Samples(run, window, bits)
+        return _Entries(samples, samples.repeated(lambda n: stored.of(turn, run, n)))
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored = _Stored(first)
         for turn, run in enumerate(cut_runs(_rows(batches), window, run_bytes)):
-            samples = _Samples(run, window, bits)
-            e = _Entries(samples, stored.of(turn, run, len(samples.short)).astype(bool))
+            e = _entries(run, turn, stored)
             rows = _cut_by_part(run, turn, _part(e.name, parts), parts, lambda s, e=e: (
                 _pack(_differences(e.name[s])), _pack(e.before[s]), _pack(e.after[s]), _pack(e.room[s]), _pack(e.doc[s].view("u8"))))
             if rows:
@@ -388,8 +437,7 @@ def mark_repeats(
         parts_of: list[np.ndarray] = []
         covered = np.zeros(0, bool)
         for turn, run in enumerate(cut_runs(rows(), window, run_bytes)):
-            samples = _Samples(run, window, bits)
-            e = _Entries(samples, one.of(turn, run, len(samples.short)).astype(bool))
+            e = _entries(run, turn, one)
             begin = np.zeros(len(run.data) + window, "i4")
             begin[e.windows(two.of(turn, run, len(e.name)))] = 1
             over = np.cumsum(begin - np.concatenate([np.zeros(window, "i4"), begin[:-window]])) > 0
