@@ -22,10 +22,9 @@ BAND = 0.25
 
 def _lines(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
     """One row a line that is not blank. Lines are compared without spaces at either end, by 128 bits of hash."""
-    at = docs.select(
-        col(doc_id).alias("doc"), F.xxhash64(col(text)).alias("text_key"), col(site).alias("site"),
-        F.posexplode(F.split(col(text), "\n")).alias("pos", "line"),
-    ).withColumn("line", F.trim("line")).where(F.col("line") != "")
+    # The text is hashed and split below the explosion, and doesn't go through it: else each line would hash the whole text.
+    whole = docs.select(col(doc_id).alias("doc"), F.xxhash64(col(text)).alias("text_key"), col(site).alias("site"), F.split(col(text), "\n").alias("lines"))
+    at = whole.select("doc", "text_key", "site", F.posexplode("lines").alias("pos", "line")).withColumn("line", F.trim("line")).where(F.col("line") != "")
     return at.select("doc", "text_key", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2"))
 
 
