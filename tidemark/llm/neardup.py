@@ -20,7 +20,8 @@ from __future__ import annotations
 import json
 import logging
 import math
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +40,8 @@ TREES, DEPTH = 20, 6
 LEAST_PREFIX = 3
 #: Share of the pairs of the shortest prefix at which shortening stops.
 RECALL = 0.9999
+#: Documents, chosen by a hash, whose similar partners are sought among all signatures, and the share of these that the groups must hold.
+PROBES, LEAST_RECALL = 256, 0.99
 #: Documents and shingles in a block of a group.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 #: Standard errors that a signature may be off before a candidate is dropped.
@@ -243,11 +246,14 @@ def forest_pairs(reps: DataFrame, prefix: int = LEAST_PREFIX) -> DataFrame:
 
 
 class Forest(NamedTuple):
-    """How far prefixes were shortened, and the share of the forest's similar pairs that have such a prefix."""
+    """How far prefixes were shortened, and the share of the forest's similar pairs that have such a prefix; of the pairs that
+    the probes have with any document, by signatures alone, how many there are and how many are in one group."""
 
     prefix: int
     recall: float
     pairs: int
+    probed: int = 0
+    joined: int = 0
 
 
 def shortened(counts: dict[int, int], expected: float, target: float) -> Forest:
@@ -261,9 +267,9 @@ def shortened(counts: dict[int, int], expected: float, target: float) -> Forest:
     raise AssertionError
 
 
-def candidates(reps: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[DataFrame, Forest]:
-    """(a, b) of nodes that share a long enough prefix in a tree and whose signatures don't rule the threshold out; and how
-    long was enough.
+def similar_pairs(reps: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[DataFrame, Forest]:
+    """(a, b, depth), written, of nodes whose signatures don't rule the threshold out, with the longest prefix that they share in a tree; and
+    how long a prefix is enough.
 
     A pair counts as similar for the recall if its signatures agree by the threshold. Each pair found stands for the pairs
     of its similarity that share no prefix of LEAST_PREFIX.
@@ -283,9 +289,47 @@ def candidates(reps: DataFrame, recall: float = RECALL, threshold: float = THRES
     joined = forest_pairs(reps).join(one, "a").join(two, "b").select("a", "b", "depth", "x", "y")
     similar = materialize(joined.mapInArrow(alike, "a long, b long, depth int, stands double"), "similar")
     levels = similar.where("stands > 0").groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum("stands").alias("s")).collect()  # a row a level
-    forest = shortened({r["depth"]: r["n"] for r in levels}, sum(r["s"] for r in levels), recall)
-    logging.getLogger(__name__).info("prefix %d of %d, recall %.6f over %d similar pairs", forest.prefix, DEPTH, forest.recall, forest.pairs)
-    return similar.where(F.col("depth") >= forest.prefix).select("a", "b"), forest
+    return similar.drop("stands"), shortened({r["depth"]: r["n"] for r in levels}, sum(r["s"] for r in levels), recall)
+
+
+def probe_pairs(reps: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
+    """(a, b), written, of ``probes`` nodes, chosen by a hash, and all nodes whose signatures agree with theirs by the threshold: each is set
+    beside every signature, so what the forest misses is seen, too."""
+    some = reps.where("size > 0")
+    chosen = some.orderBy(F.xxhash64(F.lit("probe"), "node"), "node").limit(probes).select("node", "sig").collect()  # probes rows
+    asked, least = np.array([r["node"] for r in chosen], "i8"), math.ceil(threshold * TREES * DEPTH - 1e-9)
+    signs = np.frombuffer(b"".join(bytes(r["sig"]) for r in chosen), "u2").reshape(-1, TREES * DEPTH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, own = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "u2").reshape(-1, TREES * DEPTH)
+            for q, sign in zip(asked.tolist(), signs, strict=True):
+                hit = node[(own == sign).sum(1) >= least]
+                hit = hit[hit != q]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), q)), pa.array(hit)], ["a", "b"])
+
+    return materialize(some.select("node", "sig").mapInArrow(run, "a long, b long"), "probes")
+
+
+def similar_groups(reps: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD, probes: int = PROBES, least_recall: float = LEAST_RECALL) -> tuple[DataFrame, Forest]:
+    """(node, root), written, of the groups that candidate pairs form, and what the forest was and measured.
+
+    Prefixes are shortened further while the groups hold less than ``least_recall`` of the probes' pairs, and a warning is given if
+    the shortest prefix doesn't reach it."""
+    similar, forest = similar_pairs(reps, recall, threshold)
+    near = probe_pairs(reps, threshold, probes)
+    for prefix in range(forest.prefix, LEAST_PREFIX - 1, -1):
+        groups = materialize(components(similar.where(F.col("depth") >= prefix).select("a", "b")), "groups")
+        of = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        found = near.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("root_a") == F.col("root_b")).alias("together")).first()
+        forest = forest._replace(prefix=prefix, probed=found["n"], joined=found["together"])
+        if forest.joined >= least_recall * forest.probed:
+            break
+    else:
+        warnings.warn(f"groups hold {forest.joined} of {forest.probed} similar pairs of the probes, under {least_recall}", stacklevel=2)
+    logging.getLogger(__name__).info("%s", forest)
+    return groups, forest
 
 
 def _verify(threshold: float):
@@ -372,7 +416,10 @@ def _blocks(groups: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         "node", "rep", "copies", F.col("root").alias("comp"), F.when(F.col("single"), zero).otherwise(own).alias("block"), F.when(F.col("single"), F.array(zero)).otherwise(near).alias("others"))
 
 
-def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_documents(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", probes: int = PROBES, least_recall: float = LEAST_RECALL,
+    report: Callable[[Forest], None] | None = None,
+) -> DataFrame:
     """(doc_id, class_id, n_links, copy_of) of each row of docs.
 
     A link joins two documents whose sets of five-word shingles have a Jaccard similarity of at least ``threshold``;
@@ -380,11 +427,14 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links lead to, ``copy_of`` the least id with an equal set. Copies count as links, each row one. Nulls are texts
     without words; a class with no id at all has a null class_id, and is linked to its copies alone. Very long texts are
     whole sets, in blocks of few documents. An empty table gives no rows; columns beside the two named are not read.
+    ``report`` is told how far prefixes were shortened and what recall was measured.
     """
     spark = docs.sparkSession
     signed = materialize(signatures(docs, doc_id, text), "signatures")
     reps = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "representatives")
-    groups = materialize(components(candidates(reps, recall, threshold)[0]), "groups")
+    groups, forest = similar_groups(reps, recall, threshold, probes, least_recall)
+    if report:
+        report(forest)
     placed = materialize(_blocks(groups, reps, threshold), "placed")
     bare = docs.select(col(doc_id).cast("long").alias("rep"), col(text).alias("text"))
     wanted = join_checked(bare, placed.select("rep").distinct(), ["rep"], "left_semi")
@@ -405,7 +455,8 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those whose class has a smaller id. Rows of one id are one document and share its fate; rows without
-    an id stay."""
+    an id stay. Texts without a word (null, empty) are one class; very long texts are compared whole; an empty table stays empty, other
+    columns stay."""
     gone = join_documents(docs, threshold, doc_id=doc_id, text=text).where("doc_id > class_id").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = materialize(gone, "near-duplicates")
     (key,) = fresh(docs, "gone_id")
