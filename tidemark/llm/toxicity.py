@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import append_columns, arrow_batches, col, slices
 
-#: Labelled documents of each class that training takes at most.
-SAMPLE = 1_500
+#: Labelled documents of each class that training takes at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1_500, 48 << 20
 WINDOW, STRIDE = 48, 36
 HIDDEN, EMBED = 8, 4
 GRAMS = (3, 4, 5)
@@ -38,7 +38,7 @@ PARTS = 4
 DOUBT = 4.0
 #: Weights tried for the number of windows: the highest of many is higher by chance.
 SLOPES = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
-#: Windows that weigh at most, those of 5,000 words: more clean text around a toxic passage lowers its score no further.
+#: Windows that the slope counts at most unless told otherwise, those of 5,000 words; all windows are scored in any case.
 MOST_WINDOWS = 139
 #: Rows with remainder HELD_OUT of crc32(doc_id) modulo FOLDS are never learned from.
 FOLDS, HELD_OUT = 5, 0
@@ -274,17 +274,19 @@ def starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
     return [*range(0, n - window, stride), n - window] if n > window else [0] if n else []
 
 
-def weighing(windows: int) -> int:
+def weighing(windows: int, most: int | None) -> int:
     """Windows of a text that the slope counts."""
-    return min(max(1, windows), MOST_WINDOWS)
+    return max(1, windows) if most is None else min(max(1, windows), most)
 
 
 class Model:
-    """A document's logit is that of its most toxic window, less ``slope`` a log of its number of windows, MOST_WINDOWS
-    at most, less ``cut``."""
+    """A document's logit is that of its most toxic window, less ``slope`` a log of its number of windows, less ``cut``.
 
-    def __init__(self, network: Network, ratios: tuple[np.ndarray, np.ndarray], cut: float, slope: float, prior: float) -> None:
-        self.network, self.ratios, self.cut, self.slope, self.prior = network, ratios, cut, slope, prior
+    The highest of many windows is higher by chance, which the slope takes off. Of a toxic passage amid ever more clean text it would
+    take ever more, so windows are counted up to ``most_windows``; None counts them all."""
+
+    def __init__(self, network: Network, ratios: tuple[np.ndarray, np.ndarray], cut: float, slope: float, prior: float, most_windows: int | None = MOST_WINDOWS) -> None:
+        self.network, self.ratios, self.cut, self.slope, self.prior, self.most_windows = network, ratios, cut, slope, prior, most_windows
 
     def rows(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         seen = shapes(words)
@@ -334,7 +336,7 @@ class Scorer:
         for i, own in enumerate(words):
             indexes.append(np.fromiter(map(self.at.__getitem__, own), "i4", len(own)))
             begin = starts(len(own))
-            many[i] = weighing(len(begin))
+            many[i] = weighing(len(begin), self.model.most_windows)
             windows += [(min(len(own), WINDOW), i, base + s) for s in begin]
             base += len(own)
         if not windows:
@@ -401,7 +403,7 @@ def _by_part(windows: list[tuple[int, int]], size: int) -> Iterator[list[tuple[i
             yield own[a : a + size]
 
 
-def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
+def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7, most_windows: int | None = MOST_WINDOWS) -> Model:
     """A model from labelled texts. Word and n-gram ratios that a training document meets come from the other parts of the
     documents, so the network learns how far they carry over; scoring uses those of all."""
     y = np.array(labels, "i8")
@@ -409,7 +411,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
     corpus = _Corpus(texts, y)
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 9)))
     if len(set(labels)) < 2:
-        return Model(network, corpus.whole.ratios(), -np.inf if y.any() else np.inf, 0.0, -2.0)
+        return Model(network, corpus.whole.ratios(), -np.inf if y.any() else np.inf, 0.0, -2.0, most_windows)
     windows = []
     for i, own in enumerate(corpus.docs):
         windows += [(i, s) for s in starts(len(own))]
@@ -429,7 +431,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
             for (i, a), v in zip(part, logit.tolist(), strict=True):
                 if v > top.get(i, -np.inf):
                     top[i], best[i] = v, a
-    return Model(network, corpus.whole.ratios(), *_cut(network, corpus.ratios, texts, y), min(-0.5, prior))
+    return Model(network, corpus.whole.ratios(), *_cut(network, corpus.ratios, texts, y, most_windows), min(-0.5, prior), most_windows)
 
 
 def _descend(network: Network, adam: _Adam, corpus: _Corpus, windows: list[tuple[int, int]], y: np.ndarray, rate: float) -> float:
@@ -444,13 +446,13 @@ def _descend(network: Network, adam: _Adam, corpus: _Corpus, windows: list[tuple
     return loss
 
 
-def _cut(network: Network, ratios: list, texts: Sequence[str], y: np.ndarray) -> tuple[float, float]:
+def _cut(network: Network, ratios: list, texts: Sequence[str], y: np.ndarray, most_windows: int | None) -> tuple[float, float]:
     """Cut and slope that part the classes best over whole documents, each scored with the other parts' ratios: the cut is
     midway between the neighbours where the mean of both classes' accuracies is highest."""
-    logit, many = np.empty(len(y)), np.array([weighing(len(starts(len(words_of(t))))) for t in texts])
+    logit, many = np.empty(len(y)), np.array([weighing(len(starts(len(words_of(t)))), most_windows) for t in texts])
     for part in range(PARTS):
         own = np.arange(part, len(y), PARTS)
-        logit[own] = Scorer(Model(network, ratios[part], 0.0, 0.0, 0.0)).logits([texts[i] for i in own])
+        logit[own] = Scorer(Model(network, ratios[part], 0.0, 0.0, 0.0, most_windows)).logits([texts[i] for i in own])
     seen = np.isfinite(logit)
     best = (-1.0, 0.0, 0.0)
     for slope in SLOPES if seen.any() else ():
@@ -469,17 +471,39 @@ def fold(doc_id: str) -> Column:
     return F.pmod(F.crc32(col(doc_id).cast("string")), F.lit(FOLDS))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
+def _chosen(rows: list, sample: int, sample_bytes: int) -> list[str]:
+    """Keys of the first rows of either class, in their order, that fit the bytes; one of either class at least."""
+    out, room = [], sample_bytes // 2
+    for toxic in (0, 1):
+        left = room
+        for i, r in enumerate(r for r in rows if r["toxic"] == toxic):
+            if i < sample and (not i or r["bytes"] <= left):
+                out.append(r["key"])
+                left -= r["bytes"]
+    return out
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", sample_bytes: int = SAMPLE_BYTES, most_windows: int | None = MOST_WINDOWS,
+) -> Model:
     """A model from up to ``sample`` labelled documents of each class, chosen by a hash of the id outside the held-out
-    fold. Null labels and ids are left out; an id with several labels counts as toxic if one says so, an id with several
-    texts teaches by the least of them, so that a repeated id brings one row to the driver."""
+    fold, whose texts have ``sample_bytes`` at most, half of it a class: a text that no longer fits is passed over. ``most_windows`` is the model's.
+
+    Null labels and ids are left out; an id with several labels counts as toxic if one says so, an id with several texts teaches by the
+    least of them, so that a repeated id brings one row to the driver. Without labels or documents, as in empty tables, the model gives
+    every text the score of its prior."""
     known = labels.where(col("toxic").isNotNull() & col(doc_id).isNotNull() & (fold(doc_id) != HELD_OUT))
     one = known.groupBy(col(doc_id).alias("id")).agg(F.max("toxic").alias("toxic"))
     ordered = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    picked = F.broadcast(ordered[0].unionByName(ordered[1]))
+    picked = F.broadcast(ordered[0].unionByName(ordered[1]))  # 2 * sample rows
     bare = docs.where(fold(doc_id) != HELD_OUT).select(col(doc_id).alias("id"), col(text).alias("text")).where("text is not null")
-    rows = sorted(bare.join(picked, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect())
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    least = bare.join(picked, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    key = F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("key")
+    sizes = least.select(key, F.xxhash64("id").alias("turn"), "toxic", F.octet_length("text").alias("bytes")).collect()  # no texts yet
+    wanted = _chosen(sorted(sizes, key=lambda r: (r["turn"], r["key"])), sample, sample_bytes)
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in wanted], "key string"))  # 2 * sample rows
+    rows = sorted((r["id"], r["text"], r["toxic"]) for r in least.withColumn("key", key).join(kept, "key", "left_semi").collect())
+    return train([t for _, t, _ in rows], [int(y) for *_, y in rows], most_windows=most_windows)
 
 
 def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
