@@ -133,24 +133,30 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, salt
 HEAD = 32
 
 
-def text_parts(df: DataFrame, text: str, size: int) -> int:
-    """Partitions of about ``size`` bytes of texts, not fewer than the session's shuffle partitions."""
+def text_parts(df: DataFrame, text: str, size: int, most: int | None = None) -> int:
+    """Partitions of about ``size`` bytes of texts, not fewer than the session's shuffle partitions; ``most`` makes them larger instead of more."""
     total = df.agg(F.sum(F.octet_length(col(text)).cast("long")).alias("n")).first()["n"] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+    return parts if most is None else min(parts, most)
 
 
 def range_bounds(df: DataFrame, name: str, text: str, parts: int, rows: int = 100) -> list[tuple[int, str]]:
     """Up to parts - 1 ascending cut points (integer, head of text), from a sample of about ``rows`` rows a part.
 
+    The sample is cut into ranges by Spark, and the driver gets the least row of each: ``parts`` rows, of which MOST_PARTS bounds the number.
     The cut points place rows and decide about balance alone; results don't depend on them."""
     n = df.count()
     if parts <= 1 or not n:
         return []
     keys = df.select(col(name).alias("k"), F.coalesce(F.substring(col(text), 1, HEAD), F.lit("")).alias("t")).where("k is not null")
     share = min(1.0, rows * parts / n)
-    picked = sorted(((r["k"], r["t"].encode()) for r in (keys if share == 1.0 else keys.sample(share, 11)).collect()))
-    cuts = sorted({picked[len(picked) * i // parts] for i in range(1, parts)}) if picked else []
-    return [(k, t.decode()) for k, t in cuts]
+    picked = materialize(keys if share == 1.0 else keys.sample(share, 11), "bounds")
+    heads = picked.repartitionByRange(parts, "k", "t").groupBy(F.spark_partition_id()).agg(F.min(F.struct("k", "t")).alias("head")).select("head.*").collect()
+    return sorted((r["k"], r["t"]) for r in heads)[1:]
+
+
+#: Ranges whose bounds a plan and the driver can carry.
+MOST_PARTS = 50_000
 
 
 def range_part(name: str, text: str, bounds: list[tuple[int, str]]) -> Column:

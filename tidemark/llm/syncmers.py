@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HEAD, arrow_batches, col, range_bounds, range_part, text_parts
+from tidemark.llm.common import HEAD, MOST_PARTS, arrow_batches, col, range_bounds, range_part, text_parts
 
 K, S = 24, 6
 #: Texts of fewer code points than SHORT are anchored at a finer scale, too.
@@ -117,13 +117,13 @@ def _by_scale(sketched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sketched[~fine], sketched[fine]
 
 
-def sketch(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """The smallest distinct hashes of each scale, by their upper 32 bits."""
+def sketch(hashes: np.ndarray, size: int | None = SKETCH) -> np.ndarray:
+    """The smallest distinct hashes of each scale, by their upper 32 bits; all of them if ``size`` is None."""
     coarse, fine = _by_scale(np.unique((hashes >> np.uint64(32)).astype("u4")))
     return np.sort(np.concatenate([coarse[:size], fine[:size]])) if len(fine) else coarse[:size]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, size: int | None = SKETCH) -> float:
     """Share of anchors in common, 2 |A & B| / (|A| + |B|), exact if both sketches hold all anchors, else estimated from
     the smallest hashes of the union. Fine anchors count only if both texts have them: a long text has none whatever it
     shares with a short one. Two empty texts are alike."""
@@ -135,7 +135,7 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     both = every = 0
     for x, y in scales:
         union = np.union1d(x, y)
-        if max(len(x), len(y)) >= size:
+        if size is not None and max(len(x), len(y)) >= size:
             union = union[:size]
         both += len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True))
         every += len(union)
@@ -233,7 +233,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     own partition. Equal ids follow each other by text. The plan is of one size, however many ranges there are.
     """
     bare = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    parts = text_parts(bare, "text", PART_BYTES)
+    parts = text_parts(bare, "text", PART_BYTES, MOST_PARTS)
     # Cut points ascend, so ranges are found on the key's complement, which ascends as the key falls.
     down = bare.withColumn("down", F.bitwise_not("key"))
     placed = down.withColumn("part", range_part("down", "text", range_bounds(down, "down", "text", parts)))
@@ -247,11 +247,13 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return both.repartitionById(parts, "part").sortWithinPartitions("part", "borrowed", F.col("key").desc(), "text")
 
 
-def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int | None = SKETCH) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last third is the beginning of the next document, and how
     alike they are; and the longest passage of the text that the next document has, too: its code points (0 if they share no
     anchor) and where it starts in either.
 
+    ``size`` hashes of each scale are a fingerprint, from which likeness is estimated; with None it has all of them, and likeness is exact. Texts of
+    fewer than SHORT code points have a finer scale beside the coarse one, and two texts are compared over the scales that both have.
     Nulls are empty texts; null ids come last. A single document is its own next one; repeated rows follow each other. Very
     long texts are anchored whole, CHUNK code points at a time. An empty table gives no rows; other columns are not read.
     """
@@ -264,9 +266,9 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         _, b, b_anchors, b_sketch = after
         keep, take = len(a) - len(a) // 3, min(len(a) // 3, len(b))
         digest = hashlib.sha256((a[:keep] + b[:take]).encode()).hexdigest()
-        edited = sketch(spliced(a, a_anchors, b, b_anchors, keep, take))
+        edited = sketch(spliced(a, a_anchors, b, b_anchors, keep, take), size)
         start, next_start, length = passage(a, a_anchors, b, b_anchors)
-        return doc, len(a), digest, encode(a_sketch), encode(edited), likeness(a_sketch, edited), likeness(a_sketch, b_sketch), length, start, next_start
+        return doc, len(a), digest, encode(a_sketch), encode(edited), likeness(a_sketch, edited, size), likeness(a_sketch, b_sketch, size), length, start, next_start
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
@@ -278,7 +280,7 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     continue  # a second row with a borrowed id
                 t = t or ""
                 found = anchors(t)
-                now = doc, t, found, sketch(found[1])
+                now = doc, t, found, sketch(found[1], size)
                 if p == part:
                     out.append(row(before, now))
                 part, before, lent = p, now, borrowed
