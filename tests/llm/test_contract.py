@@ -14,6 +14,7 @@ COLUMNS = {
     "op3": "doc_id held_out score predicted", "op4": "page_id payload_bytes payload_digest record_type refers_to",
     "op5": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op6": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op7": "doc_id size text_crc32 law shard slot grown_shard", "op8": "doc_id class_id n_links", "op9": "doc_id start n_tokens ids_crc32", "op10": "doc_id text",
+    "op11": "lang rank phrase a l r n score", "op12": "doc_id n_bytes n_removed n_spans kept_sha256", "op13": "doc_id n_features weight score rank",
 }
 
 
@@ -28,7 +29,10 @@ def test_columns_and_rows(spark, name):
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(out.columns)
     source = "pages" if name.startswith("op4") else "documents"
     n = spark.read.parquet(f"{DATA}/sf0.001/{source}.parquet").count()
-    assert out.count() >= n if name.startswith("op2") else out.count() == n
+    if name.startswith("op11"):
+        assert {r.lang for r in out.select("lang").distinct().collect()} == {r.lang for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("lang").distinct().collect()}
+    else:
+        assert out.count() >= n if name.startswith("op2_") else out.count() == n
 
 
 def test_pipeline_keeps_columns_and_decisions(spark):

@@ -282,7 +282,7 @@ def slow_score(model, text):
         best = max(best, float((weight / weight.sum()) @ states @ p["out"] + p["bias"][0]))
     if not words:
         return float(sigmoid(model.prior))
-    return float(sigmoid(np.clip(best - model.slope * math.log(toxicity.weighing(len(begins))) - model.cut, -30, 30)))
+    return float(sigmoid(np.clip(best - model.slope * math.log(toxicity.weighing(len(begins), model.most_windows)) - model.cut, -30, 30)))
 
 
 def labelled():
