@@ -7,21 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import week_start
+from tidemark.functions.dates import quarter, week_start
 from tidemark.functions.prices import price
 from tidemark.schemas import EVENT_WINDOW_DAYS, MIN_OBSERVATIONS
 
+#: Days of the shortest quarter: a bin of no more days reaches two quarters at most.
+QUARTER_DAYS = 90
+
 
 def event_observations(events: DataFrame, facts: DataFrame, versions: Sequence[str], date: str, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
     """Facts of the event's versions from ``days`` before its date to the day before ``days`` after it, with their phase.
 
-    The pair of versions is exploded, so the join has an equal key and the window is its residual.
+    Time is cut into bins of ``days``: a window lists the two or three that it reaches, so version and bin are equal keys, and a fact meets
+    the events near its day alone, not all of its station. If facts are stored by quarter, the quarters of a bin are a key, too, by
+    which partitions without an event can be left out.
     """
+    at, bin_of = F.col(date), lambda d: F.floor(F.unix_date(d) / days)
     keyed = events.withColumn("station_key", F.explode(F.array(*versions)))
-    at = F.col(date)
+    keyed = keyed.withColumn("bin", F.explode(F.sequence(bin_of(F.date_sub(at, days)), bin_of(F.date_add(at, days - 1)))))
+    keys, columns = ["station_key", "bin"], ["station_key", "collection_date", "product_key", "sale_price"]
+    if "quarter" in facts.columns and days <= QUARTER_DAYS:
+        ends = [quarter(F.date_from_unix_date((F.col("bin") * days + n).cast("int"))) for n in (0, days - 1)]
+        keyed, keys, columns = keyed.withColumn("quarter", F.explode(F.array_distinct(F.array(*ends)))), [*keys, "quarter"], [*columns, "quarter"]
     inside = (F.col("collection_date") >= F.date_sub(at, days)) & (F.col("collection_date") < F.date_add(at, days))
-    joined = keyed.join(facts.select("station_key", "collection_date", "product_key", "sale_price"), "station_key").where(inside)
-    return joined.withColumn("phase", F.when(F.col("collection_date") < at, "before").otherwise("after"))
+    joined = keyed.join(facts.select(*columns, bin_of(F.col("collection_date")).alias("bin")), keys).where(inside)
+    return joined.drop("bin", "quarter").withColumn("phase", F.when(F.col("collection_date") < at, "before").otherwise("after"))
 
 
 def before_after(observations: DataFrame, keys: Sequence[str], least: int = MIN_OBSERVATIONS) -> DataFrame:
@@ -33,27 +43,22 @@ def before_after(observations: DataFrame, keys: Sequence[str], least: int = MIN_
     return grouped.where((F.col("obs_before") >= least) & (F.col("obs_after") >= least))
 
 
-def market_change(cases: DataFrame, weekly: DataFrame, date: str, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
-    """(city_key, product_key, <date>, market_change) of each distinct city, product and date in ``cases``: the mean of the
-    city's weekly medians from the date on less that before it, by the Mondays of the weeks. Null where a side has no week.
+def effect(cases: DataFrame, weekly: DataFrame, date: str, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
+    """``cases`` with the station's change, its market's, and the excess of the first over the second.
 
-    Each case lists the Mondays of its window, so the join is one of equal keys.
+    The market's change is the mean of the city's weekly medians from the date on less that before it, by the Mondays of the weeks; null where a
+    side has no week. Each case lists the Mondays of its window, so the join is one of equal keys; cases come grouped, and stay where
+    they are while the medians of their weeks are gathered.
     """
-    at = F.col(date)
-    distinct = cases.select("city_key", "product_key", date).distinct()
+    at, case = F.col(date), cases.columns
     first = F.date_add(week_start(F.date_sub(at, days + 1)), 7)  # the first Monday not before the window
-    mondays = distinct.withColumn("week_start_date", F.explode(F.sequence(first, F.date_add(at, days - 1), F.expr("interval 7 days"))))
+    mondays = cases.withColumn("week_start_date", F.explode_outer(F.sequence(first, F.date_add(at, days - 1), F.expr("interval 7 days"))))
     medians = weekly.select("city_key", "product_key", "week_start_date", F.col("median_price").cast("double").alias("median"))
-    joined = mondays.join(medians, ["city_key", "product_key", "week_start_date"])
-    return joined.groupBy("city_key", "product_key", date).agg(
-        (F.avg(F.when(F.col("week_start_date") >= at, F.col("median"))) - F.avg(F.when(F.col("week_start_date") < at, F.col("median")))).alias("market_change"))
-
-
-def effect(cases: DataFrame, weekly: DataFrame, date: str, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
-    """``cases`` with the station's change, its market's, and the excess of the first over the second."""
-    market = market_change(cases, weekly, date, days)
-    changed = cases.withColumn("station_change", F.col("price_after") - F.col("price_before"))
-    return changed.join(market, ["city_key", "product_key", date], "left").withColumn("excess_change", F.col("station_change") - F.col("market_change"))
+    side = lambda c: F.avg(F.when(c, F.col("median")))
+    joined = mondays.join(medians, ["city_key", "product_key", "week_start_date"], "left")
+    found = joined.groupBy(*case).agg((side(F.col("week_start_date") >= at) - side(F.col("week_start_date") < at)).alias("market_change"))
+    changed = found.withColumn("station_change", F.col("price_after") - F.col("price_before"))
+    return changed.withColumn("excess_change", F.col("station_change") - F.col("market_change"))
 
 
 def brand_change_effect(changes: DataFrame, facts: DataFrame, stations: DataFrame, weekly: DataFrame, days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS) -> DataFrame:
