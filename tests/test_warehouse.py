@@ -282,6 +282,8 @@ def test_a_small_load_writes_little(spark, tmp_path):
     changed = {n: [p for p, f in after.parts(n).items() if before.parts(n).get(p) != f] for n in ("stations", "facts", "weekly", "snapshots")}
     assert [len(changed[n]) for n in ("stations", "facts", "weekly", "snapshots")] == [1, 1, 1, 1] and changed["weekly"] == ["quarter=2023q3"]
     assert h.stations().where("cnpj = '00000000000007'").count() == 2 and h.stations().count() == 60
+    own, late = h.facts_of(f"{7:014d}"), h.facts_of(f"{7:014d}", f"{8:014d}", since="2023-05-01")
+    assert own.count() == 5 and len(own.inputFiles()) == 3 < len(h.facts().inputFiles()) and late.count() == 1 and all("2023q" in f and "2023q1" not in f for f in late.inputFiles())
     rolled = sorted(map(str, h.weekly().collect()))
     h.refresh(whole=True)
     assert rolled == sorted(map(str, h.weekly().collect()))

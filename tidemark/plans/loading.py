@@ -17,6 +17,7 @@ from tidemark.operators.history import version_at, versions
 from tidemark.operators.keys import merge_brand, review, unused_brands
 from tidemark.plans import ops
 from tidemark.plans.analog import model, observations, raw_products, raw_survey, table
+from tidemark.plans.reports import SourceProfile
 from tidemark.plans.warehouse import Warehouse
 from tidemark.schemas import STATION, SURVEY_COLUMNS
 from tidemark.sources import seeds
@@ -271,10 +272,38 @@ def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
+def profiled(spark: SparkSession, sf_dir: str) -> SourceProfile:
+    """The stored profiles of the spoilt file and the corrected one."""
+    profile = SourceProfile(spark, derived_dir(spark, "profile", f"{sf_dir}/events.parquet"))
+    for file, name in enumerate(FILES, 1):
+        if not profile.files().where(F.col("file") == file).count():
+            profile.add(file, survey_file(spark, sf_dir, name))
+    return profile
+
+
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of both files together, from stored sketches."""
+    return profiled(spark, sf_dir).columns().where(F.col("column").isin("cnpj_da_revenda", "produto", "bandeira", "cep", "valor_de_compra"))
+
+
+def profile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiled(spark, sf_dir).values()
+
+
+def profile_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiled(spark, sf_dir).changes()
+
+
+def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file looks like, and what its rows say of themselves."""
+    return profiled(spark, sf_dir).files().select("file", "encoding", "delimiter", F.size("columns").alias("columns"), "rows", "masked", "first_day", "last_day")
+
+
 QUERIES = {
     "file_ingest": file_ingest, "file_header": file_header, "file_checksum": file_checksum, "warehouse_stations": warehouse_stations, "warehouse_facts": warehouse_facts,
     "warehouse_rollup": warehouse_rollup, "warehouse_catalog": warehouse_catalog, "load_health": load_health, "stuck_runs": stuck_runs, "station_lookup": station_lookup,
     "brand_merge": brand_merge, "brand_review": brand_review, "version_least": version_least, "fact_append": fact_append, "broken_rules": broken_rules,
     "reload_changes": reload_changes, "reload_rejects": reload_rejects, "reload_rollup": reload_rollup, "reject_samples_json": reject_samples_json,
+    "profile_columns": profile_columns, "profile_values": profile_values, "profile_changes": profile_changes, "profile_files": profile_files,
     "partition_anomalies": partition_anomalies, "unused_part_anti_join": unused_part_anti_join,
 }

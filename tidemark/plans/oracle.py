@@ -280,7 +280,40 @@ def _count(rule: str, source: str) -> str:
     return f"SELECT '{rule}' AS rule, (SELECT count(*) FROM {source}) AS rows"
 
 
+#: Rows of both files that have all their fields.
+_BOTH = f"""base AS (
+  SELECT event_id AS n, user_id, ts, event_id % 61 = 8 AS blank, lpad(CAST(user_id AS VARCHAR), 14, '0') AS id, upper(event_type) AS product, {_BRAND_RAW} AS brand, CASE WHEN event_id % 3 = 0 THEN '01310-100' ELSE '123' END AS cep,
+    CASE WHEN event_id % 37 = 3 THEN '' ELSE 'POSTO   ' || user_id END AS name, CASE WHEN event_id % 47 = 1 THEN '2024-02-31' WHEN event_id % 53 = 2 THEN '2019-03-15' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events WHERE event_id % 67 <> 11),
+whole AS (SELECT *, CASE WHEN NOT blank THEN CASE WHEN n % 41 = 7 THEN NULL WHEN n % 43 = 9 THEN '12.3' ELSE substr(id, 1, 8) || '/' || substr(id, 9) END END AS cnpj FROM base),
+src AS (
+  SELECT 1 AS file, n, cnpj, CASE WHEN NOT blank THEN product END AS product, CASE WHEN NOT blank THEN brand END AS brand, CASE WHEN NOT blank THEN cep END AS cep, blank, name, CASE WHEN NOT blank THEN day END AS day FROM whole
+  UNION ALL
+  SELECT 2, n, cnpj, CASE WHEN n % 13 = 5 THEN '??' WHEN NOT blank THEN product END, CASE WHEN n % 11 = 4 THEN 'BRANCA' WHEN NOT blank THEN brand END, CASE WHEN NOT blank THEN cep END, blank, name,
+    CASE WHEN n % 17 = 2 AND cnpj IS NOT NULL THEN '2024-02-05' WHEN NOT blank THEN day END
+  FROM whole WHERE n % 19 <> 6 AND n % 23 <> 7)"""
+
+
+def _sketched(name: str, column: str) -> str:
+    return f"SELECT '{name}' AS column, count(*) AS rows, count(*) - count({column}) AS missing, count(DISTINCT {column}) AS distinct_values, min({column}) AS least, max({column}) AS highest FROM src"
+
+
+def _changing(name: str, column: str) -> str:
+    return f"SELECT '{name}' AS attribute, count(*) AS entities, count(*) FILTER (WHERE files = 2) AS in_all, count(*) FILTER (WHERE files = 2 AND {column} > 1) AS changing FROM per"
+
+
 SQL |= {
+    "profile_columns": f"WITH {_BOTH}\n" + "\nUNION ALL\n".join((_sketched("cnpj_da_revenda", "cnpj"), _sketched("produto", "product"), _sketched("bandeira", "brand"), _sketched("cep", "cep"), _sketched("valor_de_compra", "CAST(NULL AS VARCHAR)"))),
+    "profile_values": f"""WITH {_BOTH}
+SELECT 'produto' AS column, product AS value, count(*) AS rows FROM src WHERE product IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'unidade_de_medida', 'R$ / litro', count(*) FROM src WHERE NOT blank
+UNION ALL SELECT 'estado_sigla', CASE WHEN n % 31 = 5 THEN 'S1' ELSE 'sp' END, count(*) FROM src WHERE NOT blank GROUP BY 2""",
+    "profile_changes": f"""WITH {_BOTH},
+per AS (
+  SELECT regexp_replace(cnpj, '[^0-9]', '', 'g') AS id, count(DISTINCT file) AS files, count(DISTINCT upper(trim(coalesce(brand, '')))) AS brands, count(DISTINCT name) AS names, count(DISTINCT cep) AS ceps FROM src WHERE cnpj IS NOT NULL GROUP BY 1)
+""" + "\nUNION ALL\n".join((_changing("brand", "brands"), _changing("name", "names"), _changing("address", "ceps"))),
+    "profile_files": f"""WITH {_BOTH}
+SELECT CAST(file AS INTEGER) AS file, 'utf-8-sig' AS encoding, ';' AS delimiter, CAST(16 AS INTEGER) AS columns, count(*) AS rows, count(*) FILTER (WHERE regexp_matches(cnpj, '[./-]')) AS masked, min(day) AS first_day, max(day) AS last_day
+FROM src GROUP BY 1, 2, 3, 4""",
     "file_ingest": f"WITH {_FILE}\nSELECT line_number, reject_rule, CASE WHEN reject_rule IS NULL THEN cnpj_raw END AS cnpj, CASE WHEN reject_rule IS NULL THEN CAST(p AS DOUBLE) END AS sale_price FROM lines",
     "file_header": "SELECT CAST(row_number() OVER () AS INTEGER) AS place, name FROM (SELECT unnest(string_split('regiao_sigla estado_sigla municipio revenda cnpj_da_revenda nome_da_rua numero_rua complemento bairro cep produto data_da_coleta valor_de_venda valor_de_compra unidade_de_medida bandeira', ' ')) AS name)",
     "warehouse_stations": f"""WITH {_FILE}

@@ -155,10 +155,11 @@ class Warehouse:
         good = accepted(cleaned)
         with self.step("stations", file) as step:
             self._add_keys(t, good)
-            step.rows_out = self._put_snapshots(t, file, good)
-            self._build_versions(t)
+            changed = self._put_snapshots(t, file, good)
+            step.rows_out = changed["rows"]
+            self._build_versions(t, changed)
         with self.step("facts", file) as step:
-            moved, gone = self._restate(t)
+            moved, gone = self._restate(t, changed)
             added, differing = self.add_facts(t, lowest_price(good), file, got["quarters"] or [], replace_prices)
             step.rows_in, step.rows_out = got["good"], added
             notes = {"prices that differ from stored ones": differing, "facts restated": moved, "facts without a version": gone}
@@ -176,23 +177,27 @@ class Warehouse:
             t.append("aliases", aliases.join(known, "alias_text").select(*_names(ALIAS)).coalesce(1))
         t.append("cities", new_cities(good, t.read("cities", CITY)).coalesce(1))
 
-    def _put_snapshots(self, t: Transaction, file: int, good: DataFrame) -> int:
-        """Replace the file's snapshots; notes the stations that differ thereby as the table ``changes``. Their number."""
+    def _put_snapshots(self, t: Transaction, file: int, good: DataFrame) -> dict:
+        """Replace the file's snapshots; what ``_note_changes`` says of the stations that differ thereby."""
         stored = SNAPSHOT + _BUCKET
         old = t.read("snapshots", stored, _of_file(file))
         rows = city_keys(brand_keys(good, t.read("aliases", ALIAS)), t.read("cities", CITY))
         t.put("snapshots", station_snapshots(rows).select(*_names(SNAPSHOT), self.bucket()).repartition("bucket"), ("source_file_id", "bucket"), _of_file(file))
         new = t.read("snapshots", stored, _of_file(file))
         changed = changed_keys(self._canonical(t, old), self._canonical(t, new), ["cnpj", "bucket"], "collection_date", [*STATION_ATTRIBUTES, "complement"])
-        return t.replace("changes", changed)["rows"]
+        return self._note_changes(t, changed)
+
+    @staticmethod
+    def _note_changes(t: Transaction, changed: DataFrame) -> dict:
+        """Write stations with the first day from which they may have changed as the table ``changes``; their number, their buckets and the first quarter."""
+        return t.replace("changes", changed, counts={"buckets": F.collect_set("bucket"), "first": F.min(quarter(F.col("first_day")))})
 
     def _canonical(self, s: Snapshot, rows: DataFrame) -> DataFrame:
         return canonical(rows, s.read("merges", MERGE)) if s.has("merges") else rows
 
-    def _build_versions(self, t: Transaction) -> None:
+    def _build_versions(self, t: Transaction, changed: dict) -> None:
         """Versions of the stations in ``changes``, from all their snapshots; other stations of their buckets are copied."""
-        changes = t.read("changes", _CHANGES)
-        touched = {r["bucket"] for r in changes.select("bucket").distinct().collect()}  # buckets at most
+        changes, touched = t.read("changes", _CHANGES), set(changed["buckets"] or [])
         if not touched:
             return
         here = lambda v: int(v["bucket"]) in touched
@@ -201,14 +206,12 @@ class Warehouse:
         others = t.read("stations", STATION + _BUCKET, here).join(changes.select("cnpj"), "cnpj", "left_anti")
         t.put("stations", built.unionByName(others).repartition("bucket"), ("bucket",), here, STATION_RULES)
 
-    def _restate(self, t: Transaction) -> tuple[int, int]:
+    def _restate(self, t: Transaction, changed: dict) -> tuple[int, int]:
         """Point facts of the stations in ``changes`` to the versions that are in force now, where these are others; (facts restated, facts that have none and go).
 
         Looked at are the quarters from the first changed day on, and only partitions with such a fact are written."""
-        changes = t.read("changes", _CHANGES)
-        first = changes.agg(F.min(quarter(F.col("first_day"))).alias("q")).first()["q"]
-        touched = {r["bucket"] for r in changes.select("bucket").distinct().collect()}
-        if first is None or not t.has("facts"):
+        changes, touched, first = t.read("changes", _CHANGES), set(changed["buckets"] or []), changed["first"]
+        if not touched or not t.has("facts"):
             return 0, 0
         here = lambda v: int(v["bucket"]) in touched
         facts = t.read("facts", _FACTS, lambda v: here(v) and (v["quarter"] >= first or first == "default"))
@@ -271,9 +274,9 @@ class Warehouse:
             edge = self.spark.createDataFrame([(keys[duplicate], keys[canonical_name])], "brand_key int, into_key int").withColumn("merged_at", F.current_timestamp())
             t.append("merges", edge.coalesce(1))
             moved = stations.where(F.col("brand_key") == keys[duplicate]).groupBy("cnpj", "bucket").agg(F.min("valid_from").alias("first_day"))
-            step.rows_in = t.replace("changes", moved)["rows"]
-            self._build_versions(t)
-            step.rows_out = self._restate(t)[0]
+            changed = self._note_changes(t, moved)
+            self._build_versions(t, changed)
+            step.rows_in, step.rows_out = changed["rows"], self._restate(t, changed)[0]
             t.drop("changes")
 
     def review_brands(self, *names: str) -> None:
@@ -286,6 +289,15 @@ class Warehouse:
     def facts(self) -> DataFrame:
         return self.tables.read("facts", _FACTS)
 
+    def facts_of(self, *cnpj: str, since: str | None = None) -> DataFrame:
+        """Facts of some stations, from a day on: only the buckets where these live, and the quarters from then on, are listed and read."""
+        asked = self.spark.createDataFrame([(c,) for c in cnpj], "cnpj string")
+        homes = {r["bucket"] for r in asked.select(self.bucket()).distinct().collect()}  # buckets at most
+        first = self.spark.range(1).select(quarter(F.lit(since).cast("date")).alias("q")).first()["q"] if since else ""
+        here = lambda v: int(v["bucket"]) in homes and (v["quarter"] >= first or first == "default")
+        found = self.tables.snapshot().read("facts", _FACTS, here).where(F.col("cnpj").isin(*cnpj))
+        return found.where(F.col("collection_date") >= F.lit(since).cast("date")) if since else found
+
     def stations(self) -> DataFrame:
         return self.tables.read("stations", STATION + _BUCKET)
 

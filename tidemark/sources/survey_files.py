@@ -157,20 +157,24 @@ def read_survey(spark: SparkSession, path: str, source_file_id: int, encoding: s
     """
     records = numbered_records(spark, path, encoding, delimiter)
     check_header(header_of(records, delimiter), expected, path)
-    schema = ", ".join([*(f"{c} string" for c in expected), f"{_BROKEN} string"])
-    options = {"sep": delimiter, "escape": '"', "columnNameOfCorruptRecord": _BROKEN, "mode": "PERMISSIVE", "emptyValue": ""}
-    parsed = records.where("record_number > 1").withColumn("row", F.from_csv("record", schema, options))
-    broken = F.col(f"row.{_BROKEN}").isNotNull() | F.col("row").isNull() | (F.trim("record") == "")
+    parsed, broken = _parsed(records, delimiter, expected)
     return parsed.select(
         F.lit(source_file_id).cast("int").alias("source_file_id"), F.col("record_number").alias("line_number"),
         *[F.when(~broken, F.nullif(F.col(f"row.{c}"), F.lit(""))).alias(c) for c in expected], broken.alias("is_malformed"), F.col("record").alias("raw_line"))
 
 
+def _parsed(records: DataFrame, delimiter: str, columns: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Records after the header with their fields as ``row``, and whether one has another number of fields or is blank."""
+    schema = ", ".join([*(f"`{c}` string" for c in columns), f"{_BROKEN} string"])
+    options = {"sep": delimiter, "escape": '"', "columnNameOfCorruptRecord": _BROKEN, "mode": "PERMISSIVE", "emptyValue": ""}
+    parsed = records.where("record_number > 1").withColumn("row", F.from_csv("record", schema, options))
+    return parsed, F.col(f"row.{_BROKEN}").isNotNull() | F.col("row").isNull() | (F.trim("record") == "")
+
+
 def read_tolerant(spark: SparkSession, path: str, delimiter: str = ";", encoding: str = "utf-8", columns: Sequence[str] = SURVEY_COLUMNS) -> DataFrame:
     """Rows of a file for profiling: those of a wrong number of fields are left out."""
-    schema = ", ".join(f"{c} string" for c in columns)
-    rows = spark.read.schema(schema).option("columnPruning", False)  # else a count reads no field and drops nothing
-    return rows.csv(path, sep=delimiter, header=True, encoding=charset(encoding), mode="DROPMALFORMED", enforceSchema=True)
+    parsed, broken = _parsed(numbered_records(spark, path, encoding, delimiter), delimiter, columns)
+    return parsed.where(~broken).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def sniff(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> tuple[str, str]:
