@@ -153,7 +153,7 @@ def filter_documents(docs: DataFrame, host: str = "source", text: str = "text")
     """The rows of docs that are kept, with the columns of docs.
 
     Texts are measured twice instead of shuffled: once for the hosts, once beside the whole row for its verdict. Nulls,
-    repeated rows and empty tables are as in ``judge``.
+    repeated rows, very long texts (measured whole) and empty tables are as in ``judge``; other columns stay.
     """
     bare = docs.select(F.coalesce(col(host).cast("string"), F.lit("")).alias("host"), col(text).alias("text"))
     hosts = host_verdicts(measure_documents(bare).drop("text"), "host", {k: F.col(k) for k in MEASURES})

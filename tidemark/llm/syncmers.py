@@ -231,6 +231,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     Documents are dealt into ranges of (descending id, beginning of the text); each range also borrows the first document of
     the range after it, and the last one that of the first, so every document but a borrowed one has its follower in its
     own partition. Equal ids follow each other by text. The plan is of one size, however many ranges there are.
+    Null ids sort below all others and so come last, null texts stay null, repeated rows stay; very long texts are moved whole; an empty table gives no
+    rows, other columns are not read.
     """
     bare = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     parts = text_parts(bare, "text", PART_BYTES, MOST_PARTS)

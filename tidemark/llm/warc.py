@@ -139,6 +139,8 @@ def mark_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Pages with equal payloads of at least ``least`` bytes share ``original``, their largest page_id. Digests of pages are
     counted by a partial aggregate, so a group of any size is one row; only groups of two or more are joined back.
+    A null html is an empty payload and no revisit; pages of any length are digested whole; of repeated rows all have the same original. An
+    empty table gives no rows; columns beside page_id, url and html are not read.
     """
     bare = pages.select(
         col("page_id").alias("page_id"), col("url").cast("string").alias("url"), F.coalesce(col("html").cast("binary"), F.lit(b"")).alias("payload"))
@@ -154,7 +156,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     """Write a record a page into bundles in ``folder`` (one in the shared folder if None); returns the index.
 
     A null html is an empty payload, a null url leaves out the target. Repeated rows get a record each; of rows with the
-    largest page_id of a group all are responses. An empty table writes nothing.
+    largest page_id of a group all are responses. A very long page is a record, and a frame, of its own. An empty table writes nothing;
+    other columns are not read.
     """
     spark = pages.sparkSession
     arrow_batches(spark)
@@ -187,7 +190,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
 def read_archives(index: DataFrame) -> DataFrame:
     """(page_id, record_type, refers_to, declared_bytes, declared_digest, payload) of the records in ``index``.
 
-    Any part of an index will do. Rows come from its files in the order of writing, so a frame is opened once.
+    Any part of an index will do, an empty one gives no rows, a repeated row its record again, and columns that the index doesn't have are not
+    read. Rows come from its files in the order of writing, so a frame is opened once; it is decompressed whole, a very long record with it.
     """
     kind = index.schema["page_id"].dataType.simpleString()
 
