@@ -367,7 +367,7 @@ def test_toxicity_of_odd_rows(spark, docs, nothing):
 
 def test_a_repeated_id_teaches_once(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((list(texts), list(labels))))
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, **_: seen.append((list(texts), list(labels))))
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(1, f"text 1 again {k:03}") for k in range(500)], "doc_id long, text string")
     toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
