@@ -11,8 +11,10 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -29,6 +31,8 @@ PIECE = 1 << 16
 LONG_RUN = 256
 #: Pretokens in one generation of the memo, and the characters that one may have; two generations are kept.
 MEMO, LONGEST_KEPT = 200_000, 48
+#: The rank of a pair that no merge names.
+NEVER = 1 << 60
 _RUN_KINDS = [regex.compile(p) for p in (r"\s+", r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+")]
 _GOES_ON = [regex.compile(p) for p in (r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
 
@@ -56,6 +60,8 @@ class Merges:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pair[model["vocab"][a], model["vocab"][b]] = rank, model["vocab"][a + b]
+        self.rank = {p: rank for p, (rank, _) in self.pair.items()}
+        self.made = dict(self.pair.values())
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -78,15 +84,16 @@ class Merges:
         return self._merge_short(ids) if len(ids) <= 32 else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        pair = self.pair
-        none = (1 << 60, -1)
-        while len(ids) > 1:
-            found = [pair.get(p, none) for p in zip(ids, ids[1:], strict=False)]
-            best = min(found)
-            if best is none or best[1] < 0:
-                break
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
+        rank, made = self.rank.get, self.made
+        ranks = [*map(rank, zip(ids, ids[1:], strict=False), repeat(NEVER))]  # of each pair of neighbours
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -147,30 +154,44 @@ class RunEncoder:
         return out
 
 
+class _Young(dict):
+    """The young generation: what it lacks is asked of ``lacking``. A lookup that succeeds calls no Python code."""
+
+    def __init__(self, lacking: Callable[[str], bytes]) -> None:
+        self.lacking = lacking
+
+    def __missing__(self, word: str) -> bytes:
+        return self.lacking(word)
+
+
 class Memo:
     """Encoded short pretokens in two generations: when the young one is full, it becomes the old one."""
 
     def __init__(self, merges: Merges, size: int = MEMO) -> None:
         self.merges, self.size = merges, size
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = _Young(self._lacking)
         self.old: dict[str, bytes] = {}
 
     def __getitem__(self, word: str) -> bytes:
-        found = self.young.get(word)
+        return self.young[word]
+
+    def all(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        return [*map(self.young.__getitem__, words)]  # of the generation that was young at first: both hold right ids
+
+    def _lacking(self, word: str) -> bytes:
+        found = self.young.get(word) or self.old.get(word)
         if found is None:
-            found = self.old.get(word)
-            if found is None:
-                found = pack_ids(self.merges.merge(word.encode()))
-                if len(word) > LONGEST_KEPT:
-                    return found
+            found = pack_ids(self.merges.merge(word.encode()))
+        if len(word) <= LONGEST_KEPT:
             if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, _Young(self._lacking)
             self.young[word] = found
         return found
 
 
-def pack_ids(ids: Iterable[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def unpack_ids(data: bytes) -> list[int]:
@@ -217,7 +238,7 @@ class StreamEncoder:
                     break
                 words.append(m.group())
         if max(map(len, words), default=0) <= LONG_RUN:
-            out += map(self.memo.__getitem__, words)
+            out += self.memo.all(words)
         else:
             out += (self.memo[w] if len(w) <= LONG_RUN else self._long(w) for w in words)
         if len(self.held) > LONG_RUN:
