@@ -25,3 +25,23 @@ def test_query(spark, connection, name):
     sql = registry.oracle_sql()[name]
     assert not differences(registry.queries()[name](spark, f"{DATA}/sf0.01"), sql, connection)
     assert name in EMPTY or connection.sql(sql).limit(1).fetchall()
+
+
+@pytest.mark.parametrize("name", ["asof_in_buckets", "event_effect_in_buckets"])
+def test_facts_in_buckets_stay_where_they_are(spark, name):
+    """With joins that don't broadcast, no exchange lies above the scan of the facts and below the join that they enter."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()[name](spark, f"{DATA}/sf0.01")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    at = next(i for i, line in enumerate(plan) if "Scan parquet" in line and "sale_price" in line)
+    assert "Bucketed: true" in plan[at]
+    above, level = [], depth(plan[at])
+    for line in reversed(plan[:at]):
+        if depth(line) < level:
+            above, level = [*above, line], depth(line)
+    join = next(i for i, line in enumerate(above) if "Join" in line)
+    assert not [line for line in above[:join] if "Exchange" in line]

@@ -34,6 +34,25 @@ def event_observations(events: DataFrame, facts: DataFrame, versions: Sequence[s
     return joined.drop("bin", "quarter").withColumn("phase", F.when(F.col("collection_date") < at, "before").otherwise("after"))
 
 
+def station_observations(changes: DataFrame, facts: DataFrame, stations: DataFrame, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
+    """What ``event_observations`` and the versions' cities give for changes of stations, joined by station alone: facts that are
+    stored in buckets by station stay where they are, and so do the groups of the result.
+
+    A fact meets all changes of its own station, which are few in any history. The pseudo-dates of a placebo are many: they need bins.
+    """
+    at = F.col("changed_on")
+    placed = changes
+    for side in ("before", "after"):
+        cities = stations.select(F.col("station_key").alias(f"station_key_{side}"), F.col("city_key").alias(f"city_{side}"), "cnpj")
+        placed = placed.join(cities, ["cnpj", f"station_key_{side}"])
+    seen = placed.join(facts.select("cnpj", "station_key", "collection_date", "product_key", "sale_price"), "cnpj")
+    key = F.col("station_key")
+    inside = (F.col("collection_date") >= F.date_sub(at, days)) & (F.col("collection_date") < F.date_add(at, days))
+    own = seen.where(inside & key.isin(F.col("station_key_before"), F.col("station_key_after")))
+    city = F.when(key == F.col("station_key_before"), F.col("city_before")).otherwise(F.col("city_after"))
+    return own.withColumn("city_key", city).drop("city_before", "city_after").withColumn("phase", F.when(F.col("collection_date") < at, "before").otherwise("after"))
+
+
 def before_after(observations: DataFrame, keys: Sequence[str], least: int = MIN_OBSERVATIONS) -> DataFrame:
     """Mean price and count of either phase of each group with at least ``least`` observations in both."""
     value = F.col("sale_price").cast("double")
@@ -61,9 +80,10 @@ def effect(cases: DataFrame, weekly: DataFrame, date: str, days: int = EVENT_WIN
     return changed.withColumn("excess_change", F.col("station_change") - F.col("market_change"))
 
 
-def brand_change_effect(changes: DataFrame, facts: DataFrame, stations: DataFrame, weekly: DataFrame, days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS) -> DataFrame:
-    """The effect of each brand change on each product of the station, against its own city."""
-    seen = event_observations(changes, facts, ("station_key_before", "station_key_after"), "changed_on", days).join(stations.select("station_key", "city_key"), "station_key")
+def brand_change_effect(changes: DataFrame, facts: DataFrame, stations: DataFrame, weekly: DataFrame, days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS, in_buckets: bool = False) -> DataFrame:
+    """The effect of each brand change on each product of the station, against its own city. ``in_buckets`` tells that facts and
+    stations are stored in buckets by cnpj."""
+    seen = station_observations(changes, facts, stations, days) if in_buckets else event_observations(changes, facts, ("station_key_before", "station_key_after"), "changed_on", days).join(stations.select("station_key", "city_key"), "station_key")
     cases = before_after(seen, ["cnpj", "change_type", "brand_before", "brand_after", "changed_on", "city_key", "product_key"], least)
     return effect(cases, weekly, "changed_on", days)
 

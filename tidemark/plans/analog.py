@@ -6,6 +6,8 @@ anything else brand X.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from tidemark.operators.facts import lowest_price
 from tidemark.operators.history import versions
 from tidemark.plans.model import Model
 from tidemark.plans.warehouse import written_model
-from tidemark.storage import derived_dir
+from tidemark.sources.bucketed import read_buckets, write_buckets
+from tidemark.storage import Conflict, Tables, derived_dir
 
 #: Event types by product key, from 1.
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -66,6 +69,27 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     return Model(facts, versions_, cities, products, brands, calendar(spark, "2024-01-01", "2024-12-31"), weekly)
 
 
+#: Buckets of the tables by station: about one for each 128 MB of facts, fixed when they are written.
+BUCKETS = 8
+
+
+def bucketed_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The model with its facts and stations in buckets by cnpj, written once for each state of the input and of this code."""
+    m = model(spark, sf_dir)
+    tables = Tables(spark, derived_dir(spark, "buckets", *[f"{sf_dir}/{t}.parquet" for t in ("events", "customer")]))
+    found = {"facts": m.facts, "stations": m.stations}
+    if not tables.has("facts"):
+        try:
+            with tables.transaction() as t:
+                for name, df in found.items():
+                    t.put_files(name, lambda path, df=df: write_buckets(df, path, "cnpj", BUCKETS))
+        except Conflict:
+            pass  # another session has written the same
+    now = tables.snapshot()
+    stored = {name: read_buckets(spark, now.folders(name)[0], df.schema, "cnpj", BUCKETS) for name, df in found.items()}
+    return replace(m, **stored)
+
+
 def raw_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw survey rows, with dirt of each kind by the event's number."""
     e, n = table(spark, sf_dir, "events"), F.col("event_id")

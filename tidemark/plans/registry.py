@@ -13,9 +13,10 @@ from tidemark.functions.prices import rounded
 from tidemark.operators import checks, profile
 from tidemark.operators.clean import accepted, clean, rejects
 from tidemark.operators.facts import lowest_price
+from tidemark.operators.history import as_of
 from tidemark.operators.keys import resolve_brands, resolve_cities, unused_brands
 from tidemark.plans import loading, ops, questions, views
-from tidemark.plans.analog import DAYS, ETHANOL, GASOLINE, LEAST, model, observations, raw_products, raw_survey, table
+from tidemark.plans.analog import DAYS, ETHANOL, GASOLINE, LEAST, bucketed_model, model, observations, raw_products, raw_survey, table
 from tidemark.plans.oracle import SQL
 from tidemark.schemas import CITY
 from tidemark.sources import seeds
@@ -51,6 +52,17 @@ def facts_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(m.facts.join(names, "station_key").select("cnpj", "product_key", "collection_date", "sale_price", "brand_key", "valid_from", "quarter"))
 
 
+def facts_as_of_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version of each price's day, looked up by range, where facts and stations lie in buckets by station."""
+    m = bucketed_model(spark, sf_dir)
+    found = as_of(m.facts.drop("station_key"), m.stations.select("cnpj", "brand_key", "valid_from", "valid_to"), "cnpj", "collection_date")
+    return plain(found.select("cnpj", "product_key", "collection_date", "sale_price", "brand_key", "valid_from", "quarter"))
+
+
+def event_effect_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(views.brand_effect(bucketed_model(spark, sf_dir), DAYS, LEAST, in_buckets=True))
+
+
 def adjacent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model(spark, sf_dir).brand_changes.select("cnpj", "brand_before", "brand_after", "changed_on", "change_type")
 
@@ -225,9 +237,11 @@ QUERIES: dict[str, Query] = {
     "scd2_adjacent_changes": adjacent_changes,
     "change_type_counts": change_type_counts,
     "asof_fact_join": facts_as_of,
+    "asof_in_buckets": facts_as_of_in_buckets,
     "flat_observation": _view(views.price_observation),
     "brand_timeline": _view(views.brand_timeline),
     "event_effect": _view(views.brand_effect, days=DAYS, least=LEAST),
+    "event_effect_in_buckets": event_effect_in_buckets,
     "event_summary": _view(questions.change_summary, product=GASOLINE, since="2024-01-01", until="2024-02-01", days=DAYS, least=LEAST),
     "event_by_brand_t": _view(questions.effect_by_brand, least_cases=10, days=DAYS, least=LEAST),
     "placebo_vs_event": placebo,

@@ -119,8 +119,8 @@ def coverage_drop(m: Model) -> DataFrame:
     return sample_coverage(m).select("survey_week_key", "product_name", "cities", before.alias("previous_cities"), (F.col("cities") - before).alias("change"))
 
 
-def brand_effect(m: Model, days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS) -> DataFrame:
-    cases = brand_change_effect(m.brand_changes, m.facts, m.stations, m.weekly, days, least)
+def brand_effect(m: Model, days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS, in_buckets: bool = False) -> DataFrame:
+    cases = brand_change_effect(m.brand_changes, m.facts, m.stations, m.weekly, days, least, in_buckets)
     named = as_prices(cases).join(m.cities.select("city_key", "uf", "city_name"), "city_key").join(m.products.select("product_key", "product_name"), "product_key")
     return named.select(
         "cnpj", "change_type", "brand_before", "brand_after", "changed_on", "uf", "city_name", "product_name", "price_before", "price_after",
