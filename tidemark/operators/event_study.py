@@ -38,7 +38,7 @@ def station_observations(changes: DataFrame, facts: DataFrame, stations: DataFra
     """What ``event_observations`` and the versions' cities give for changes of stations, joined by station alone: facts that are
     stored in buckets by station stay where they are, and so do the groups of the result.
 
-    A fact meets all changes of its own station, which are few in any history. The pseudo-dates of a placebo are many: they need bins.
+    A fact meets all changes of its own station, which are few in any history. The pseudo-dates of a placebo are many: see ``lent_observations``.
     """
     at = F.col("changed_on")
     placed = changes
@@ -53,6 +53,29 @@ def station_observations(changes: DataFrame, facts: DataFrame, stations: DataFra
     return own.withColumn("city_key", city).drop("city_before", "city_after").withColumn("phase", F.when(F.col("collection_date") < at, "before").otherwise("after"))
 
 
+def lent_observations(dates: DataFrame, stations: DataFrame, facts: DataFrame, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
+    """What ``event_observations`` gives if each of a city's dates (city_key, pseudo_date, times) is lent to each of its stations
+    (cnpj, city_key; of one version each, so that cnpj tells their facts), joined by station alone; an observation comes as many times
+    as its date.
+
+    A city's dates are listed once, by the bins of ``days`` that their windows reach: no more than there are days in its history. A
+    station carries its city's list, and a fact looks up the place of its own bin, so pairs of station and date are never rows
+    of their own, facts that are stored in buckets by station stay where they are, and so do the groups of the result.
+    """
+    at, bin_of = F.col("pseudo_date"), lambda d: F.floor(F.unix_date(d) / days).cast("int")
+    reached = dates.withColumn("bin", F.explode(F.sequence(bin_of(F.date_sub(at, days)), bin_of(F.date_add(at, days - 1)))))
+    binned = reached.groupBy("city_key", "bin").agg(F.collect_list(F.struct("pseudo_date", "times")).alias("dates"))
+    lists = binned.groupBy("city_key").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.map_from_entries(F.collect_list(F.struct("bin", "dates"))).alias("by_bin"))
+    lists = lists.select("city_key", "first", F.transform(F.sequence("first", "last"), lambda b: F.try_element_at("by_bin", b)).alias("lent"))
+    placed = stations.join(lists, "city_key").select("cnpj", "city_key", "first", "lent")
+    day = F.col("collection_date")
+    seen = facts.select("cnpj", "station_key", "collection_date", "product_key", "sale_price").join(placed, "cnpj")
+    near = F.filter(F.get("lent", bin_of(day) - F.col("first")), lambda d: (day >= F.date_sub(d["pseudo_date"], days)) & (day < F.date_add(d["pseudo_date"], days)))
+    found = seen.select("cnpj", "city_key", "station_key", "collection_date", "product_key", "sale_price", F.inline(near))
+    again = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("copy", "times")
+    return again.withColumn("phase", F.when(day < at, "before").otherwise("after"))
+
+
 def before_after(observations: DataFrame, keys: Sequence[str], least: int = MIN_OBSERVATIONS) -> DataFrame:
     """Mean price and count of either phase of each group with at least ``least`` observations in both."""
     value = F.col("sale_price").cast("double")
@@ -95,17 +118,22 @@ def stable_stations(stations: DataFrame) -> DataFrame:
 
 def placebo_effect(
     changes: DataFrame, facts: DataFrame, stations: DataFrame, weekly: DataFrame, product_key: int, kind: str | None = "desbandeiramento",
-    days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS, dedupe_pairs: bool = True,
+    days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS, dedupe_pairs: bool = True, in_buckets: bool = False,
 ) -> DataFrame:
     """The effect that events seem to have on stations that had none: each event lends its date to the stable stations of
-    its city. With ``dedupe_pairs`` two events of a city on one date lend it once; without, it counts twice."""
+    its city. With ``dedupe_pairs`` two events of a city on one date lend it once; without, it counts twice. ``in_buckets`` tells
+    that facts and stations are stored in buckets by cnpj."""
     chosen = changes.where(F.col("change_type") == kind) if kind else changes
     cities = stations.select(F.col("station_key").alias("station_key_after"), "city_key")
     dates = chosen.join(cities, "station_key_after").groupBy("city_key", F.col("changed_on").alias("pseudo_date")).agg(F.count(F.lit(1)).alias("times"))
-    pairs = dates.join(stable_stations(stations), "city_key")
-    if not dedupe_pairs:
-        pairs = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("copy")
-    seen = event_observations(pairs, facts.where(F.col("product_key") == product_key), ("station_key",), "pseudo_date", days)
+    own = facts.where(F.col("product_key") == product_key)
+    if in_buckets:
+        seen = lent_observations(dates.withColumn("times", F.lit(1)) if dedupe_pairs else dates, stable_stations(stations), own, days)
+    else:
+        pairs = dates.join(stable_stations(stations), "city_key")
+        if not dedupe_pairs:
+            pairs = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("copy")
+        seen = event_observations(pairs, own, ("station_key",), "pseudo_date", days)
     cases = before_after(seen, ["cnpj", "pseudo_date", "city_key", "product_key"], least)
     return effect(cases, weekly, "pseudo_date", days)
 

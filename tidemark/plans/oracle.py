@@ -374,4 +374,5 @@ FROM (SELECT *, CASE WHEN product_key = 2 THEN CAST(d + INTERVAL 4 YEAR AS DATE)
         "SELECT 'aliases have brands' AS rule, CAST(1 AS BIGINT) AS rows", "SELECT 'one key a brand' AS rule, CAST(0 AS BIGINT) AS rows", "SELECT 'one key a city' AS rule, CAST(0 AS BIGINT) AS rows"))),
 }
 SQL["reload_rollup"] = SQL["warehouse_rollup"]  # a rollup brought up to date equals one made anew
-SQL |= {"asof_in_buckets": SQL["asof_fact_join"], "event_effect_in_buckets": SQL["event_effect"]}  # how tables are stored changes no row
+# How tables are stored changes no row.
+SQL |= {"asof_in_buckets": SQL["asof_fact_join"], "event_effect_in_buckets": SQL["event_effect"], "placebo_in_buckets": SQL["placebo_vs_event"], "placebo_pairs_kept_in_buckets": SQL["placebo_pairs_kept"]}

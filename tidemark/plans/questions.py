@@ -62,11 +62,11 @@ def change_summary(m: Model, kind: str = "desbandeiramento", product: int = GASO
         F.count_if(F.col("price_after") < F.col("price_before")).alias("fell"), F.count_if(F.col("price_after") > F.col("price_before")).alias("rose"))
 
 
-def placebo_comparison(m: Model, product: int = GASOLINE, kind: str = "desbandeiramento", days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS, dedupe_pairs: bool = True) -> DataFrame:
+def placebo_comparison(m: Model, product: int = GASOLINE, kind: str = "desbandeiramento", days: int = EVENT_WINDOW_DAYS, least: int = MIN_OBSERVATIONS, dedupe_pairs: bool = True, in_buckets: bool = False) -> DataFrame:
     """Effects of real changes by kind, next to those that the same dates seem to have on stations without a change."""
-    placebo = placebo_effect(m.brand_changes, m.facts, m.stations, m.weekly, product, kind, days, least, dedupe_pairs)
+    placebo = placebo_effect(m.brand_changes, m.facts, m.stations, m.weekly, product, kind, days, least, dedupe_pairs, in_buckets)
     name = m.products.where(F.col("product_key") == product).select("product_name")
-    real = brand_effect(m, days, least).join(name, "product_name", "left_semi").withColumn("excess_change", F.col("excess_change").cast("double"))
+    real = brand_effect(m, days, least, in_buckets).join(name, "product_name", "left_semi").withColumn("excess_change", F.col("excess_change").cast("double"))
     columns = ["cases", "mean_effect", "median_effect", "deviation", "standard_error", "below_market", "pct_below"]
     none = summary(placebo).select(F.lit("placebo").alias("group"), *columns)
     return none.unionByName(summary(real, "change_type").select(F.concat(F.lit("event ("), "change_type", F.lit(")")).alias("group"), *columns))

@@ -200,6 +200,14 @@ def placebo_pairs_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.placebo_comparison(model(spark, sf_dir), product=GASOLINE, days=DAYS, least=LEAST, dedupe_pairs=False)
 
 
+def placebo_in_buckets(spark: SparkSession, sf_dir: str, dedupe_pairs: bool = True) -> DataFrame:
+    return questions.placebo_comparison(bucketed_model(spark, sf_dir), product=GASOLINE, days=DAYS, least=LEAST, dedupe_pairs=dedupe_pairs, in_buckets=True)
+
+
+def placebo_pairs_kept_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placebo_in_buckets(spark, sf_dir, dedupe_pairs=False)
+
+
 def series_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(questions.series_price(model(spark, sf_dir), GASOLINE))
 
@@ -246,6 +254,8 @@ QUERIES: dict[str, Query] = {
     "event_by_brand_t": _view(questions.effect_by_brand, least_cases=10, days=DAYS, least=LEAST),
     "placebo_vs_event": placebo,
     "placebo_pairs_kept": placebo_pairs_kept,
+    "placebo_in_buckets": placebo_in_buckets,
+    "placebo_pairs_kept_in_buckets": placebo_pairs_kept_in_buckets,
     "city_semi_join": _view(views.site_city),
     "unused_brand_anti_join": never_used_brands,
     "clean_normalise": clean_normalise,
