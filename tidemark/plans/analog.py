@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import calendar, week_start
+from tidemark.functions.dates import week_start
 from tidemark.operators.facts import lowest_price
 from tidemark.operators.history import versions
 from tidemark.plans.model import Model
@@ -27,8 +27,14 @@ UNBRANDED, BRAND_Y, BRAND_X = 1, 2, 3
 DAYS, LEAST = 7, 2
 
 
+#: Columns of the tables that every question meets: Spark need not open a file, and run a job, to find them out.
+SCHEMAS = {"nation": "n_nationkey int, n_name string, n_regionkey int", "region": "r_regionkey int, r_name string"}
+VERSION = "station_key long, cnpj string, legal_name string, brand_key int, city_key int, valid_from date, valid_to date, is_current boolean, district string"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def product_of(kind: Column) -> Column:
@@ -57,7 +63,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model(spark: SparkSession, sf_dir: str) -> Model:
     """Stations, facts and rollup are written once for each state of the input tables and of this code, and read by every question."""
     folder = derived_dir(spark, "model", *[f"{sf_dir}/{t}.parquet" for t in ("events", "customer")])
-    facts, versions_, weekly = written_model(spark, folder, lambda: stations(spark, sf_dir), lambda: lowest_price(observations(spark, sf_dir)))
+    facts, versions_, weekly = written_model(spark, folder, lambda: stations(spark, sf_dir), lambda: lowest_price(observations(spark, sf_dir)), VERSION)
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     cities = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(
         F.col("n_nationkey").alias("city_key"), F.col("n_name").alias("city_name"), F.col("r_name").alias("uf"), F.substring("r_name", 1, 2).alias("region"))
@@ -66,7 +72,7 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
         F.lit("event").alias("fuel_family"), F.lit("1").alias("unit_of_measure"), (F.col("id") != 2).alias("is_liquid_fuel"), F.lit(True).alias("in_default_scope"))
     names = F.array(F.lit("UNBRANDED"), F.lit("Y"), F.lit("X"))
     brands = spark.range(1, 4).select(F.col("id").cast("int").alias("brand_key"), F.element_at(names, F.col("id").cast("int")).alias("brand_name"), (F.col("id") == UNBRANDED).alias("is_unbranded"), F.lit(False).alias("needs_review"))
-    return Model(facts, versions_, cities, products, brands, calendar(spark, "2024-01-01", "2024-12-31"), weekly)
+    return Model(facts, versions_, cities, products, brands, ("2024-01-01", "2024-12-31"), weekly)
 
 
 #: Buckets of the tables by station: about one for each 128 MB of facts, fixed when they are written.

@@ -7,8 +7,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from tidemark.functions.dates import calendar
 from tidemark.operators.history import brand_changes
 from tidemark.operators.rollup import weekly_rollup
+from tidemark.schemas import CALENDAR
 
 
 @dataclass
@@ -21,12 +23,16 @@ class Model:
     cities: DataFrame
     products: DataFrame
     brands: DataFrame
-    calendar: DataFrame
+    days: tuple[str, str] = CALENDAR
     weekly: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.weekly = self.weekly if self.weekly is not None else weekly_rollup(self.facts, self.stations)
 
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return calendar(self.cities.sparkSession, *self.days)
+
     @cached_property
     def brand_changes(self) -> DataFrame:
         return brand_changes(self.stations, self.brands)

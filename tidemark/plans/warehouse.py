@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import calendar, quarter, week_start
+from tidemark.functions.dates import quarter, week_start
 from tidemark.operators import checks
 from tidemark.operators.clean import accepted, clean, rejects
 from tidemark.operators.facts import build_facts, build_stations, lowest_price, station_snapshots
@@ -329,7 +329,7 @@ class Warehouse:
     def model(self) -> Model:
         """What views and questions read, all of one commit. Days and products bound partitions and row groups of the facts."""
         s = self.tables.snapshot()
-        return Model(s.read("facts", FACT), s.read("stations", STATION), s.read("cities", CITY), self.products, s.read("brands", BRAND), calendar(self.spark), s.read("weekly", WEEKLY))
+        return Model(s.read("facts", FACT), s.read("stations", STATION), s.read("cities", CITY), self.products, s.read("brands", BRAND), CALENDAR, s.read("weekly", WEEKLY))
 
     def table_sizes(self) -> DataFrame:
         """(table, quarter, files, bytes) of what is stored: of facts by quarter, of other tables whole."""
@@ -367,20 +367,21 @@ def _by_quarter(facts: DataFrame) -> DataFrame:
     return facts.select(*columns).repartition("quarter", F.pmod(F.xxhash64("station_key"), F.lit(16))).sortWithinPartitions("quarter", "product_key", "station_key", "collection_date")
 
 
-def written_model(spark: SparkSession, folder: str, stations: Callable[[], DataFrame], prices: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, stations, weekly rollup) from a folder, written there first if it lacks them."""
+def written_model(spark: SparkSession, folder: str, stations: Callable[[], DataFrame], prices: Callable[[], DataFrame], columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, stations, weekly rollup) from a folder, written there first if it lacks them; ``columns`` are those of the stations, so that
+    no file is opened to find them out."""
     tables = Tables(spark, folder)
     if not tables.has("weekly"):
         try:
             with tables.transaction() as t:
                 t.replace("stations", stations())
-                versions = spark.read.parquet(*t.folders("stations"))
+                versions = t.read("stations", columns)
                 t.replace("facts", _by_quarter(build_facts(prices(), versions)), ("quarter",))
                 t.replace("weekly", weekly_rollup(t.read("facts", FACT), versions))
         except Conflict:
             pass  # another session has written the same
     now = tables.snapshot()
-    return now.read("facts", FACT), spark.read.parquet(*now.folders("stations")), now.read("weekly", WEEKLY)
+    return now.read("facts", FACT), now.read("stations", columns), now.read("weekly", WEEKLY)
 
 
 def load_order(catalog: DataFrame) -> DataFrame:
