@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,6 +94,49 @@ def test_recall_of_families(spark):
     assert want and sum(min(r.n_links, degree[r.doc_id]) for r in got) == sum(degree.values()) and {r.doc_id: r.n_links for r in got} == {i: degree[i] for i in range(len(rows))}
 
 
+def traced(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_shingles_of_a_long_text_take_little_memory(monkeypatch):
+    """A text of 50 MB took 2,050 MB in a Python worker."""
+    text = " ".join(map(str, range(1_000_000, 1_500_000)))
+    found, peak = traced(lambda: neardup.shingles(text))
+    assert len(found) == 499_996 and peak < 12 * len(text)
+    awkward = ["", " ", "a", "  a \t b\n", "日本 é x\x1fy \U0001F600", "q" * 300 + " x", *(t for _, t in near_copies(3))]
+    want = [neardup.shingles(t).tolist() for t in awkward]
+    for piece in (1, 7, 100):
+        monkeypatch.setattr(neardup, "PIECE", piece, raising=False)
+        assert [neardup.shingles(t).tolist() for t in awkward] == want
+
+
+def test_verification_takes_little_memory(monkeypatch):
+    """Shared shingles are counted by ranges of hashes: the working memory isn't a multiple of a block's shingles."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 1 << 15, "u8")
+    sets = [np.unique(np.concatenate([base[i * 150 :], rng.integers(0, 1 << 64, 999, "u8")])) for i in range(24)]
+
+    def verified():
+        n = np.arange(24)
+        zero, one = np.zeros(24, "i8"), np.ones(24, "i8")
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, (zero, zero, zero, n, zero, one)), pa.array([s.tobytes() for s in sets], pa.binary())], ["comp", "lo", "hi", "node", "block", "copies", "shingles"])
+        return lambda: [r for b in neardup._verify(0.8)(iter([batch])) for r in b.to_pylist()]
+
+    got, peak = traced(verified())
+    whole = [set(s.tolist()) for s in sets]
+    degree = {i: sum(i != j and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(whole)) for i, a in enumerate(whole)}
+    assert {r["node"]: r["links"] for r in got if r["other"] is None} == degree and min(degree.values()) > 0
+    assert peak < 16 << 20  # of 6 MB of shingles; it grew with them
+    for counted in (5_000, 1 << 30):
+        monkeypatch.setattr(neardup, "COUNTED", counted, raising=False)
+        assert verified()() == got
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [*near_copies(6), *[(10 + i, "the very same words of them all") for i in range(3)], (20, "something else altogether in here"), (21, None), (22, ""), (None, "no id at all but words")]
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long")

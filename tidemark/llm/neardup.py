@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import logging
 import math
+import re
 import warnings
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -44,6 +45,8 @@ RECALL = 0.9999
 PROBES, LEAST_RECALL = 256, 0.99
 #: Documents and shingles in a block of a group.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
+#: Code points of a text that are hashed at once (one word at least), and shingles of a task that are counted at once. Results don't depend on them.
+PIECE, COUNTED = 1 << 18, 1 << 17
 #: Standard errors that a signature may be off before a candidate is dropped.
 SLACK = 5.0
 
@@ -53,6 +56,7 @@ _FACTORS = _rng.integers(0, 1 << 32, TREES * DEPTH, "u4") | np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, TREES * DEPTH, "u4")
 _SPACE = np.zeros(128, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_GAP = re.compile(r"[\x20\x09-\x0D]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,9 +65,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's runs of ``size`` words; a shorter text is one run, one without words none."""
-    points = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
+def _pieces(text: str) -> Iterator[str]:
+    """A text in runs of about PIECE code points; no word is cut."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PIECE)
+        to = gap.start() if gap else len(text)
+        yield text[at:to]
+        at = to
+
+
+def _words(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     inside = ~((points < 128) & _SPACE[np.minimum(points, 127)])
     edge = np.diff(inside.astype("i1"), prepend=0)
     first = np.flatnonzero(edge == 1)
@@ -73,11 +87,19 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     length = np.diff(np.append(np.searchsorted(at, first), len(at)))
     place = (at - np.repeat(first, length)).astype("u8")
     letters = _mix(points[at].astype("u8") + (place << np.uint64(32)))
-    word = _mix(np.add.reduceat(letters, np.cumsum(length) - length))
+    return _mix(np.add.reduceat(letters, np.cumsum(length) - length))
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's runs of ``size`` words; a shorter text is one run, one without words none."""
+    word = np.concatenate([np.zeros(0, "u8"), *map(_words, _pieces(text or ""))])
+    if not len(word):
+        return word
     n = min(size, len(word))
     run = np.full(len(word) - n + 1, np.uint64(n))
     for k in range(n):
-        run = run * _M1 + word[k : k + len(run)]
+        run *= _M1
+        run += word[k : k + len(run)]
     return np.unique(_mix(run))
 
 
@@ -336,7 +358,7 @@ def _verify(threshold: float):
     """Links inside a block, or between two: counts by node, weighted by copies, and a spanning forest."""
     parts = round(threshold * 1000)
 
-    def overlap(sets: list[np.ndarray]) -> np.ndarray:
+    def counted(sets: list[np.ndarray]) -> np.ndarray:
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         _, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = count[index] > 1
@@ -344,18 +366,29 @@ def _verify(threshold: float):
         order = np.argsort(index, kind="stable")
         owner, index = owner[order], index[order]
         common = np.zeros((len(sets), len(sets)), "f4")
-        for a in range(0, int(index[-1]) + 1 if len(index) else 0, 4096):
+        columns = int(index[-1]) + 1 if len(index) else 0
+        for a in range(0, columns, 4096):
             lo, hi = np.searchsorted(index, [a, a + 4096])
-            have = np.zeros((len(sets), 4096), "f4")
+            have = np.zeros((len(sets), min(4096, columns - a)), "f4")
             have[owner[lo:hi], index[lo:hi] - a] = 1
             common += have @ have.T
         return common.astype("i8")
 
+    def overlap(sets: list[np.ndarray]) -> np.ndarray:
+        """Shingles that each two sets share, counted by ranges of hashes: a range of all sets has about COUNTED of them."""
+        ranges = -(-sum(map(len, sets)) // COUNTED)
+        cuts = np.array([k * 2**64 // ranges for k in range(1, ranges)], "u8")
+        edges = [[0, *np.searchsorted(s, cuts).tolist(), len(s)] for s in sets]
+        common = np.zeros((len(sets), len(sets)), "i8")
+        for k in range(ranges):
+            common += counted([s[e[k] : e[k + 1]] for s, e in zip(sets, edges, strict=True)])
+        return common
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["comp", "lo", "hi"]):
             rows: dict[int, tuple[int, int, np.ndarray]] = {}
-            for node, block, copies, data in zip(*(group.column(c).to_pylist() for c in ("node", "block", "copies", "shingles")), strict=True):
-                rows[node] = block, copies, np.frombuffer(data, "<u8")
+            for node, block, copies, data in zip(*(group.column(c).to_pylist() for c in ("node", "block", "copies")), group.column("shingles"), strict=True):
+                rows[node] = block, copies, np.frombuffer(data.as_buffer(), "<u8")
             if len(rows) < 2:
                 continue
             nodes = np.array(list(rows))
