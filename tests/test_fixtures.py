@@ -3,11 +3,14 @@
 import datetime as dt
 
 import pytest
+from comparing import differences, duck
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import rejects
 from tidemark.plans import registry
+from tidemark.plans.warehouse import Warehouse
 from tidemark.schemas import SURVEY_COLUMNS
+from tidemark.storage import RuleBroken
 
 
 @pytest.fixture
@@ -39,3 +42,29 @@ def test_samples_of_rejects_need_no_sort_of_all(spark):
             own = sorted((r.line_number, r.raw_row is not None) for r in got if (r.source_file_id, r.rule_name) == (file, rule))
             assert len(own) == 150 and [kept for _, kept in own] == [True] * 5 + [False] * 145
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def write_tables(spark, folder, events, customers):
+    """Events as (user, time, kind, value), customers as (key, nation); ten nations of one region."""
+    tables = {
+        "events": ([(i, u, t, kind, v) for i, (u, t, kind, v) in enumerate(events)], "event_id long, user_id long, ts timestamp, event_type string, value double"),
+        "customer": ([(k, f"c{k}", n) for k, n in customers], "c_custkey long, c_name string, c_nationkey int"),
+        "nation": ([(n, f"N{n}", 0) for n in range(10)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R0")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).coalesce(1).toPandas().astype({"ts": "datetime64[us]"} if name == "events" else {}).to_parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_events_without_a_price_are_appended(spark, tmp_path):
+    """An event's value may be 0 or missing: its fact is stored all the same, in both files. A surveyed price of 0 is refused as ever."""
+    day = lambda n: dt.datetime(2024, 1, n, 12)
+    folder = write_tables(spark, tmp_path, [(1, day(3), "view", 0.0), (1, day(22), "view", 0.0), (1, day(22), "purchase", None), (1, day(25), "view", 4.5), (1, day(25), "view", -1.0)], [(1, 2)])
+    assert not differences(registry.queries()["fact_append"](spark, folder), registry.oracle_sql()["fact_append"], duck(folder))
+    house = Warehouse(spark, f"file://{tmp_path}/w")
+    prices = spark.createDataFrame([("0" * 14, dt.date(2024, 1, 3), 1, 0, 1)], "cnpj string, collection_date date, product_key short, sale_price int, source_file_id int")
+    versions = spark.createDataFrame([("0" * 14, 5, dt.date(2024, 1, 1), dt.date(9999, 12, 31))], "cnpj string, station_key long, valid_from date, valid_to date").withColumn("bucket", house.bucket())
+    with pytest.raises(RuleBroken, match="plausible"), house.tables.transaction() as t:
+        t.replace("stations", versions, ("bucket",))
+        house.add_facts(t, prices, 1, [])

@@ -66,8 +66,8 @@ def _now() -> str:
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, folder: str, products: DataFrame | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.tables, self.products = spark, Tables(spark, folder), products if products is not None else seeds.products(spark)
+    def __init__(self, spark: SparkSession, folder: str, products: DataFrame | None = None, buckets: int = BUCKETS, fact_rules: dict[str, str] = FACT_RULES) -> None:
+        self.spark, self.tables, self.products, self.fact_rules = spark, Tables(spark, folder), products if products is not None else seeds.products(spark), fact_rules
         self.ledger = Ledger(spark, f"{folder.rstrip('/')}/_runs")
         now = self.tables.snapshot()
         if not now.has("catalog"):
@@ -225,7 +225,7 @@ class Warehouse:
         named = {(r["quarter"], r["bucket"]) for r in off}
         inside = lambda v: (v["quarter"], int(v["bucket"])) in named
         whole = t.read("facts", _FACTS, inside).drop("station_key")
-        t.put("facts", _laid_out(build_facts(whole, stations, "inner", "bucket")), _FACTS_BY, inside, FACT_RULES)
+        t.put("facts", _laid_out(build_facts(whole, stations, "inner", "bucket")), _FACTS_BY, inside, self.fact_rules)
         self._stale(t, {w for r in off for w in r["weeks"]})
         return sum(r["moved"] for r in off), sum(r["gone"] for r in off)
 
@@ -248,11 +248,11 @@ class Warehouse:
         if replace and had:
             rest, before = known.where(~own), known.where(own).agg(F.collect_set(quarter(week_start(F.col("collection_date")))).alias("w"), F.count(F.lit(1)).alias("n")).first()
             new = build_facts(asked.join(rest.select(*grain), grain, "left_anti"), stations, "inner", "bucket")
-            got = t.put("facts", _laid_out(rest.select(*new.columns).unionByName(new)), _FACTS_BY, here, FACT_RULES, weeks | {"own": F.count_if(own)})
+            got = t.put("facts", _laid_out(rest.select(*new.columns).unionByName(new)), _FACTS_BY, here, self.fact_rules, weeks | {"own": F.count_if(own)})
             self._stale(t, {*got["weeks"], *before["w"]})
             return got["own"] - before["n"], differing
         new = build_facts(asked.join(known.select(*grain), grain, "left_anti"), stations, "inner", "bucket")
-        got = t.append("facts", _laid_out(new), _FACTS_BY, FACT_RULES, weeks)
+        got = t.append("facts", _laid_out(new), _FACTS_BY, self.fact_rules, weeks)
         self._stale(t, set(got["weeks"] or []))
         return got["rows"], differing
 
