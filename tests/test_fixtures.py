@@ -1,12 +1,16 @@
 """Survey queries over small tables of their own, where the test tables can't show a fault."""
 
 import datetime as dt
+import itertools
+import math
+from decimal import Decimal
 
 import pytest
 from comparing import differences, duck
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import rejects
+from tidemark.operators.event_study import before_after, effect
 from tidemark.plans import registry
 from tidemark.plans.warehouse import Warehouse
 from tidemark.schemas import SURVEY_COLUMNS
@@ -68,3 +72,22 @@ def test_events_without_a_price_are_appended(spark, tmp_path):
     with pytest.raises(RuleBroken, match="plausible"), house.tables.transaction() as t:
         t.replace("stations", versions, ("bucket",))
         house.add_facts(t, prices, 1, [])
+
+
+def test_means_are_the_same_in_any_order_of_rows(spark):
+    """Stations whose prices are the same on both sides, in another order each, have neither risen nor fallen alike: sums in the order of
+    arrival differ in their last bit. The market's mean of several weeks is taken in the same way."""
+    prices = (Decimal("0.1"), Decimal("0.2"), Decimal("0.3"), Decimal("99999.999"), Decimal("0.001"))
+    expected = math.fsum(map(float, prices)) / len(prices)
+    orders = list(itertools.permutations(prices))
+    rows = [(n, phase, p) for n, order in enumerate(orders) for phase, own in (("before", order), ("after", reversed(order))) for p in own]
+    seen = spark.createDataFrame(rows, "station int, phase string, sale_price decimal(8,3)").coalesce(1)
+    got = before_after(seen, ["station"], 5).collect()
+    assert len(got) == len(orders) and {(r.price_before, r.price_after) for r in got} == {(expected, expected)}
+    three = before_after(seen.withColumn("times", F.lit(3)), ["station"], 15, "times").collect()
+    assert len(three) == len(orders) and {(r.price_before, r.price_after, r.obs_after) for r in three} == {(math.fsum(map(float, prices * 3)) / 15,) * 2 + (15,)}
+    monday, weeks = dt.date(2024, 3, 4), [dt.timedelta(weeks=w) for w in range(-5, 5)]
+    cases = spark.createDataFrame([(n, 1, monday, 1.0, 1.0) for n in range(len(orders))], "city_key int, product_key int, day date, price_before double, price_after double")
+    medians = [(n, 1, monday + w, p) for n, order in enumerate(orders) for w, p in zip(weeks, (*order, *reversed(order)), strict=True)]
+    weekly = spark.createDataFrame(medians, "city_key int, product_key int, week_start_date date, median_price decimal(8,3)").coalesce(1)
+    assert [r.excess_change for r in effect(cases, weekly, "day", 35).collect()] == [0.0] * len(orders)

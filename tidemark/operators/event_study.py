@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import quarter, week_start
-from tidemark.functions.prices import price
+from tidemark.functions.prices import mean, price
 from tidemark.schemas import EVENT_WINDOW_DAYS, MIN_OBSERVATIONS
 
 #: Days of the shortest quarter: a bin of no more days reaches two quarters at most.
@@ -55,8 +55,8 @@ def station_observations(changes: DataFrame, facts: DataFrame, stations: DataFra
 
 def lent_observations(dates: DataFrame, stations: DataFrame, facts: DataFrame, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
     """What ``event_observations`` gives if each of a city's dates (city_key, pseudo_date, times) is lent to each of its stations
-    (cnpj, city_key; of one version each, so that cnpj tells their facts), joined by station alone; an observation comes as many times
-    as its date.
+    (cnpj, city_key; of one version each, so that cnpj tells their facts), joined by station alone; an observation has the ``times`` of
+    its date beside it.
 
     A city's dates are listed once, by the bins of ``days`` that their windows reach: no more than there are days in its history. A
     station carries its city's list, and a fact looks up the place of its own bin, so pairs of station and date are never rows
@@ -72,16 +72,16 @@ def lent_observations(dates: DataFrame, stations: DataFrame, facts: DataFrame, d
     seen = facts.select("cnpj", "station_key", "collection_date", "product_key", "sale_price").join(placed, "cnpj")
     near = F.filter(F.get("lent", bin_of(day) - F.col("first")), lambda d: (day >= F.date_sub(d["pseudo_date"], days)) & (day < F.date_add(d["pseudo_date"], days)))
     found = seen.select("cnpj", "city_key", "station_key", "collection_date", "product_key", "sale_price", F.inline(near))
-    again = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("copy", "times")
-    return again.withColumn("phase", F.when(day < at, "before").otherwise("after"))
+    return found.withColumn("phase", F.when(day < at, "before").otherwise("after"))
 
 
-def before_after(observations: DataFrame, keys: Sequence[str], least: int = MIN_OBSERVATIONS) -> DataFrame:
-    """Mean price and count of either phase of each group with at least ``least`` observations in both."""
-    value = F.col("sale_price").cast("double")
+def before_after(observations: DataFrame, keys: Sequence[str], least: int = MIN_OBSERVATIONS, times: str | None = None) -> DataFrame:
+    """Mean price and count of either phase of each group with at least ``least`` observations in both. Means don't depend on the order of
+    the rows. ``times`` names a column, of one value a group: each observation of the group counts so many times."""
+    copies = F.max(times) if times else F.lit(1)
     phase = {p: F.col("phase") == p for p in ("before", "after")}
     grouped = observations.groupBy(*keys).agg(
-        *[F.avg(F.when(c, value)).alias(f"price_{p}") for p, c in phase.items()], *[F.count_if(c).alias(f"obs_{p}") for p, c in phase.items()])
+        *[mean(F.when(c, F.col("sale_price")), copies).alias(f"price_{p}") for p, c in phase.items()], *[(F.count_if(c) * copies).alias(f"obs_{p}") for p, c in phase.items()])
     return grouped.where((F.col("obs_before") >= least) & (F.col("obs_after") >= least))
 
 
@@ -95,8 +95,8 @@ def effect(cases: DataFrame, weekly: DataFrame, date: str, days: int = EVENT_WIN
     at, case = F.col(date), cases.columns
     first = F.date_add(week_start(F.date_sub(at, days + 1)), 7)  # the first Monday not before the window
     mondays = cases.withColumn("week_start_date", F.explode_outer(F.sequence(first, F.date_add(at, days - 1), F.expr("interval 7 days"))))
-    medians = weekly.select("city_key", "product_key", "week_start_date", F.col("median_price").cast("double").alias("median"))
-    side = lambda c: F.avg(F.when(c, F.col("median")))
+    medians = weekly.select("city_key", "product_key", "week_start_date", F.col("median_price").alias("median"))
+    side = lambda c: mean(F.when(c, F.col("median")))
     joined = mondays.join(medians, ["city_key", "product_key", "week_start_date"], "left")
     found = joined.groupBy(*case).agg((side(F.col("week_start_date") >= at) - side(F.col("week_start_date") < at)).alias("market_change"))
     changed = found.withColumn("station_change", F.col("price_after") - F.col("price_before"))
@@ -126,15 +126,13 @@ def placebo_effect(
     chosen = changes.where(F.col("change_type") == kind) if kind else changes
     cities = stations.select(F.col("station_key").alias("station_key_after"), "city_key")
     dates = chosen.join(cities, "station_key_after").groupBy("city_key", F.col("changed_on").alias("pseudo_date")).agg(F.count(F.lit(1)).alias("times"))
+    dates = dates.withColumn("times", F.lit(1)) if dedupe_pairs else dates
     own = facts.where(F.col("product_key") == product_key)
     if in_buckets:
-        seen = lent_observations(dates.withColumn("times", F.lit(1)) if dedupe_pairs else dates, stable_stations(stations), own, days)
+        seen = lent_observations(dates, stable_stations(stations), own, days)
     else:
-        pairs = dates.join(stable_stations(stations), "city_key")
-        if not dedupe_pairs:
-            pairs = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("copy")
-        seen = event_observations(pairs, own, ("station_key",), "pseudo_date", days)
-    cases = before_after(seen, ["cnpj", "pseudo_date", "city_key", "product_key"], least)
+        seen = event_observations(dates.join(stable_stations(stations), "city_key"), own, ("station_key",), "pseudo_date", days)
+    cases = before_after(seen, ["cnpj", "pseudo_date", "city_key", "product_key"], least, "times")
     return effect(cases, weekly, "pseudo_date", days)
 
 
