@@ -61,3 +61,13 @@ def test_load_report(spark, tmp_path):
     text = load_report(house)
     assert "| 2023-01 | 4 | 1 | 2 | 1 |" in text and "| uf_invalid | 1 |" in text and "| brands to review | 1 |" in text and "| troca de distribuidora | 1 |" in text and "| 2023 | 2 | 1 |" in text
     assert "| 3 |" in table(spark.range(5).select(F.lit("a|b").alias("x"), "id"), most=4) and "a\\|b" in table(spark.range(1).select(F.lit("a|b").alias("x"))) and "the rest is left out" in table(spark.range(5), most=4)
+
+
+def test_different_values_of_files_are_counted_exactly(spark, tmp_path):
+    """Twelve thousand stations a file, half of them in both: more than a sketch tells one by one."""
+    profile = SourceProfile(spark, f"file://{tmp_path}/profile")
+    for file, first in ((1, 0), (2, 6_000)):
+        profile.add(file, write(tmp_path, f"{file}.csv", [line(cnpj=f"{n:014d}", price=f"{n % 9_000 / 1000:.3f}".replace(".", ",")) for n in range(first, first + 12_000)]))
+    found = {r.column: (r.rows, r.missing, r.distinct_values, r.least, r.highest) for r in profile.columns().collect()}
+    assert found["cnpj_da_revenda"] == (24_000, 0, 18_000, "0" * 14, f"{17_999:014d}") and found["valor_de_venda"][2] == 9_000
+    assert found["valor_de_compra"] == (24_000, 24_000, 0, None, None) and found["bandeira"][2] == 1

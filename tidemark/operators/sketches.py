@@ -1,7 +1,7 @@
 """Profiles that merge: each part of the data leaves a few small rows, and the profile of any parts together is made of those.
 
 Numbers of different values are HyperLogLog sketches, quantiles are KLL sketches; counts, extremes and what is known of each entity
-merge exactly.
+merge exactly, and so do numbers of different values if the parts keep these, too.
 """
 
 from __future__ import annotations
@@ -39,8 +39,13 @@ def sketch_columns(rows: DataFrame, names: Sequence[str], lg_k: int = LG_K) -> D
     return _unfolded(rows.agg(*aggregates), names, ("rows", "missing", "different", "least", "highest"))
 
 
-def merge_columns(sketches: DataFrame) -> DataFrame:
-    """(column, rows, missing, distinct_values, least, highest) of all parts together."""
+def merge_columns(sketches: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """(column, rows, missing, distinct_values, least, highest) of all parts together. Distinct values are counted exactly if ``values``
+    has those of the parts, as (column, value), else estimated."""
+    if values is not None:
+        exact = values.groupBy("column").agg(F.count_distinct("value").alias("distinct_values"))
+        merged = sketches.groupBy("column").agg(*[f(c).alias(c) for c, f in (("rows", F.sum), ("missing", F.sum), ("least", F.min), ("highest", F.max))])
+        return merged.join(exact, "column", "left").select("column", "rows", "missing", F.coalesce("distinct_values", F.lit(0).cast("long")).alias("distinct_values"), "least", "highest")
     return sketches.groupBy("column").agg(
         F.sum("rows").alias("rows"), F.sum("missing").alias("missing"), F.round(F.hll_sketch_estimate(F.hll_union_agg("different"))).cast("long").alias("distinct_values"),
         F.min("least").alias("least"), F.max("highest").alias("highest"))
@@ -64,7 +69,7 @@ def merge_numbers(sketches: DataFrame, shares: Sequence[float] = (0.1, 0.5, 0.9)
 
 
 def value_counts(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column, value, rows) of columns with few values; blank ones are left out."""
+    """(column, value, rows) of columns, a row a different value; blank ones are left out."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in names]))
     return rows.select(pairs.alias("p")).select("p.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
 
